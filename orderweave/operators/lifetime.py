@@ -19,18 +19,20 @@ def order_key(events: DataFrame) -> list[str]:
 
 
 def lifetimes(events: DataFrame) -> DataFrame:
-    """Lifetime table; orders without an ADD are left out. One aggregation, combined before the shuffle."""
+    """Lifetime table; orders without an ADD are left out. One aggregation, combined before the shuffle.
+
+    Events with equal event_seq and time are ordered by their values."""
     key = order_key(events)
     source = "" if "source" in key else "min_by(source, at) as source,"
     return sql(
         f"""
-        with placed as (select *, struct(event_seq, ts) as at from {{events}}),
+        with placed as (select *, struct(event_seq, ts, price, size) as at from {{events}}),
         orders as (
           select {", ".join(key)}, {source}
             min_by(symbol, at) as symbol,
             count_if(event_type = 'ADD') as adds,
             min_by(struct(ts, price, size), at) filter (where event_type = 'ADD') as born,
-            max_by(struct(ts, price, size, event_type), at)
+            max_by(struct(ts, price, size, event_type), struct(event_seq, ts, event_type, price, size))
               filter (where event_type in ('FILL', 'CANCEL')) as died,
             count_if(event_type = 'FILL') as fill_count,
             count_if(event_type = 'FILL' and reason in ('PARTIAL_FILL', 'PARTIAL_FILL_TRADE')) as partial_fill_count,
