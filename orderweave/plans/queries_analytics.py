@@ -222,12 +222,12 @@ def density_hist_pc1(spark, sf):
 
 
 def _kde_twin(points: int, used: str, low: str, high: str) -> str:
-    return f""", ends AS (SELECT symbol, {low} AS low, {high} AS high, avg(x) AS mean_all, stddev_samp(x) AS sd_all
+    return f""", kde_ends AS (SELECT symbol, {low} AS low, {high} AS high, avg(x) AS mean_all, stddev_samp(x) AS sd_all
         FROM xs GROUP BY symbol),
-      used AS (SELECT xs.* FROM xs JOIN ends USING (symbol) WHERE {used}),
+      used AS (SELECT xs.* FROM xs JOIN kde_ends USING (symbol) WHERE {used}),
       width AS (SELECT symbol, count(*) AS n, stddev_samp(x) * count(*) ** -0.2 AS h FROM used GROUP BY symbol),
       grid AS (SELECT symbol, CAST(g AS INTEGER) AS point, low + g * (high - low) / {points - 1} AS grid_x, mean_all, sd_all, n, h
-        FROM ends JOIN width USING (symbol), range({points}) r(g) WHERE h > 0)
+        FROM kde_ends JOIN width USING (symbol), range({points}) r(g) WHERE h > 0)
       SELECT symbol, point, grid_x, sum(exp(-0.5 * ((grid_x - x) / h) ** 2)) / (n * h * sqrt(2 * pi())) AS density,
         exp(-0.5 * ((grid_x - mean_all) / sd_all) ** 2) / (sd_all * sqrt(2 * pi())) AS normal_density
       FROM grid JOIN used USING (symbol) GROUP BY symbol, point, grid_x, n, h, mean_all, sd_all"""
