@@ -38,10 +38,11 @@ def rows_of(columns, rows):
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(con, spark, sf_dir: str, query) -> str | None:
-    """None if equal, else what differs."""
+def compare(con, spark, sf_dir: str, query, note=lambda n: None) -> str | None:
+    """None if equal, else what differs. ``note`` is told the number of rows."""
     df = query.run(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    note(len(got))
     if query.oracle is None:
         return None if got else "no rows"
     cursor = con.execute(query.oracle)
@@ -78,13 +79,14 @@ def main(argv):
         if wanted and name not in wanted:
             continue
         start = time.time()
+        size = []
         try:
-            problem = compare(con, spark, sf_dir, query)
+            problem = compare(con, spark, sf_dir, query, size.append)
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
         n = "" if query.oracle else " (rows only)"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{n} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{n} {size} {time.time() - start:.1f}s {problem or ''}", flush=True)
     print("failed:", failed)
 
 
