@@ -43,17 +43,12 @@ def rolling_fill_rate(orders: DataFrame, by, window: int = 500, min_rows: int =
 
 def pair_frame(orders: DataFrame, by, cut: float = 0.995) -> DataFrame:
     """(distance, rolling fill rate) per order, without nulls, up to the ``cut`` quantile of distance."""
-    keys = ", ".join(by)
     pairs = pin(
         rolling_fill_rate(orders, by).where("abs_dist is not null and fill_prob is not null"), "rolling"
     )
     limit = quantiles(rank_values(pairs, by, "abs_dist"), by, {"top": cut})
-    return sql(
-        f"""select {keys}, row_no, abs_dist as x, fill_prob as y
-            from {{pairs}} join {{limit}} using ({keys}) where abs_dist <= top""",
-        pairs=pairs,
-        limit=limit,
-    )
+    kept = attach(pairs, limit, by, ["top"], "row_no", rows="total").where("abs_dist <= top")
+    return kept.selectExpr(*by, "row_no", "abs_dist as x", "fill_prob as y")
 
 
 def average_ranks(pairs: DataFrame, by) -> DataFrame:
@@ -90,26 +85,15 @@ def kendall(pairs: DataFrame, by) -> DataFrame:
     points = pin(
         sql(f"select {keys}, x, y, count(*) as n from {{pairs}} group by {keys}, x, y", pairs=pairs), "points"
     )
-    levels = Chunks(points.select(*by, "y").distinct(), by, ["y"], "y-values").scan(sums={"place": "1L"})
-    levels = levels.selectExpr(*by, "y", "place - 1 as place", "1L as n_rows")
     sizes = sql(f"select {keys}, y, sum(n) as n_rows from {{points}} group by {keys}, y", points=points)
-    placed = attach(
-        points,
-        sql(
-            f"select {keys}, y, place, s.n_rows from {{levels}} l join {{sizes}} s using ({keys}, y)",
-            levels=levels.drop("n_rows"),
-            sizes=sizes,
-        ),
-        [*by, "y"],
-        ["place"],
-        "x",
-    )
+    levels = Chunks(sizes, by, ["y"], "y-values").scan(sums={"place": "1L"}, totals={"n_levels": "1L"})
+    placed = attach(points, levels, [*by, "y"], ["place", "n_levels"], "x")
     split = sql(
         f"""
-        with bounds as (select {keys}, max(place) as last from {{levels}} group by {keys}),
-        bits as (
-          select {keys}, x, n, place, explode(sequence(0, cast(floor(log2(last + 0.5D)) as int))) as level
-          from {{placed}} join bounds using ({keys}) where last > 0
+        with bits as (
+          select {keys}, x, n, place - 1 as place,
+            explode(sequence(0, cast(floor(log2(n_levels - 0.5D)) as int))) as level
+          from {{placed}} where n_levels > 1
         )
         select {keys}, level, shiftright(place, level + 1) as node, x,
           sum(if(shiftright(place, level) & 1L = 1, n, 0)) as ones,
@@ -117,7 +101,6 @@ def kendall(pairs: DataFrame, by) -> DataFrame:
         from bits group by {keys}, level, shiftright(place, level + 1), x
         """,
         placed=placed,
-        levels=levels,
     )
     met = Chunks(split, [*by, "level", "node"], ["x"], "bits").scan(sums={"ones_upto": "ones"})
     return sql(
@@ -153,21 +136,21 @@ def pseudo_obs(ranks: DataFrame, by) -> DataFrame:
 def copula_density(uv: DataFrame, by, bins: int = 40) -> DataFrame:
     """Two-way density histogram of (u, v) between their extremes, non-empty cells; last bins closed."""
     keys = ", ".join(by)
+    span = sql(
+        f"""select {keys}, count(*) as n, min(u) as u0, (max(u) - min(u)) / {bins} as du,
+              min(v) as v0, (max(v) - min(v)) / {bins} as dv
+            from {{uv}} group by {keys}""",
+        uv=uv,
+    )
+    placed = attach(uv, span, by, ["n", "u0", "du", "v0", "dv"], "row_no", rows="n").where("du > 0 and dv > 0")
     return sql(
         f"""
-        with span as (
-          select {keys}, count(*) as n, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1
-          from {{uv}} group by {keys}
-        ), placed as (
-          select {keys}, n, (u1 - u0) / {bins} * ((v1 - v0) / {bins}) as area,
-            cast(least(floor((u - u0) / ((u1 - u0) / {bins})), {bins - 1}) as int) as u_bin,
-            cast(least(floor((v - v0) / ((v1 - v0) / {bins})), {bins - 1}) as int) as v_bin
-          from {{uv}} join span using ({keys}) where u1 > u0 and v1 > v0
-        )
-        select {keys}, u_bin, v_bin, count(*) as n_rows, count(*) / (min(n) * min(area)) as density
-        from placed group by {keys}, u_bin, v_bin
+        select {keys}, u_bin, v_bin, count(*) as n_rows, count(*) / (min(n) * min(du * dv)) as density
+        from (select *, cast(least(floor((u - u0) / du), {bins - 1}) as int) as u_bin,
+                cast(least(floor((v - v0) / dv), {bins - 1}) as int) as v_bin from {{placed}})
+        group by {keys}, u_bin, v_bin
         """,
-        uv=uv,
+        placed=placed,
     )
 
 
@@ -197,16 +180,22 @@ def local_smooth(pairs: DataFrame, by, frac: float = 0.3, points: int = 100) ->
     """Local-linear curve with tricube weights on an even grid over all rows; the half-width is ``frac``
     of the range. Each distinct pair meets only the grid points it reaches."""
     keys = ", ".join(by)
+    cells = pin(
+        sql(f"select {keys}, x, y, count(*) as n from {{pairs}} group by {keys}, x, y", pairs=pairs), "cells"
+    )
+    span = sql(
+        f"""select {keys}, count(*) as n_cells, min(x) as low, (max(x) - min(x)) / {points - 1} as step,
+              {frac}D * (max(x) - min(x)) as h
+            from {{cells}} group by {keys}""",
+        cells=cells,
+    )
     return sql(
         f"""
-        with span as (
-          select {keys}, min(x) as low, (max(x) - min(x)) / {points - 1} as step, {frac}D * (max(x) - min(x)) as h
-          from {{pairs}} group by {keys} having max(x) > min(x)
-        ), reached as (
+        with reached as (
           select {keys}, x, y, n, low, step, h, explode(sequence(
               greatest(0, cast(ceil((x - h - low) / step) as int)),
               least({points - 1}, cast(floor((x + h - low) / step) as int)))) as point
-          from (select {keys}, x, y, count(*) as n from {{pairs}} group by {keys}, x, y) join span using ({keys})
+          from {{scaled}} where step > 0
         ), weighted as (
           select {keys}, point, low + point * step as grid_x, y, x - (low + point * step) as dx,
             n * pow(1 - pow(least(1, abs(x - (low + point * step)) / h), 3), 3) as w
@@ -220,7 +209,7 @@ def local_smooth(pairs: DataFrame, by, frac: float = 0.3, points: int = 100) ->
           if(sw * sxx - sx * sx > 1e-9D * sw * sxx, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx), sy / sw) as smooth
         from sums where sw > 0
         """,
-        pairs=pairs,
+        scaled=attach(cells, span, by, ["low", "step", "h"], "x, y", rows="n_cells"),
     )
 
 
@@ -307,13 +296,8 @@ def confidence_ellipses(pca: DataFrame, by) -> DataFrame:
 
 def pc1_scores(df: DataFrame, pca: DataFrame, by, a: str, b: str, identity) -> DataFrame:
     """Projection of every row onto the first axis."""
-    keys = ", ".join(by)
-    return sql(
-        f"""select {keys}, {", ".join(identity)}, ({a} - mean_a) * pc1_a + ({b} - mean_b) * pc1_b as score
-            from {{df}} join (select {keys}, mean_a, mean_b, pc1_a, pc1_b from {{pca}}) using ({keys})""",
-        df=df,
-        pca=pca,
-    )
+    placed = attach(df, pca, by, ["mean_a", "mean_b", "pc1_a", "pc1_b"], ", ".join(identity), rows="n")
+    return placed.selectExpr(*by, *identity, f"({a} - mean_a) * pc1_a + ({b} - mean_b) * pc1_b as score")
 
 
 # ------------------------------------------------------------ multivariate ----
@@ -321,17 +305,12 @@ def pc1_scores(df: DataFrame, pca: DataFrame, by, a: str, b: str, identity) -> D
 
 def mahalanobis(df: DataFrame, cov: DataFrame, by, a: str, b: str, identity) -> DataFrame:
     """Distance of every row from the mean in units of the covariance."""
-    keys = ", ".join(by)
-    return sql(
-        f"""
-        select {keys}, {", ".join(identity)}, sqrt(
-            (var_b * da * da - 2 * cov_ab * da * db + var_a * db * db) / nullif(var_a * var_b - cov_ab * cov_ab, 0)
-          ) as distance
-        from (select {keys}, {", ".join(identity)}, {a} - mean_a as da, {b} - mean_b as db, var_a, var_b, cov_ab
-              from {{df}} join (select {keys}, mean_a, mean_b, var_a, var_b, cov_ab from {{cov}}) using ({keys}))
-        """,
-        df=df,
-        cov=cov,
+    placed = attach(df, cov, by, ["mean_a", "mean_b", "var_a", "var_b", "cov_ab"], ", ".join(identity), rows="n")
+    return placed.selectExpr("*", f"{a} - mean_a as da", f"{b} - mean_b as db").selectExpr(
+        *by,
+        *identity,
+        """sqrt((var_b * da * da - 2 * cov_ab * da * db + var_a * db * db)
+             / nullif(var_a * var_b - cov_ab * cov_ab, 0)) as distance""",
     )
 
 
@@ -346,15 +325,15 @@ def portfolio_moments(cov: DataFrame, by, wa: float, wb: float) -> DataFrame:
 def linear_projection(df: DataFrame, by, x: str, z: str, identity) -> DataFrame:
     """Best linear prediction of ``x`` from ``z`` and what it leaves."""
     keys = ", ".join(by)
-    return sql(
-        f"""
-        with line as (select {keys}, regr_slope({x}, {z}) as beta, regr_intercept({x}, {z}) as alpha
-                      from {{df}} group by {keys})
-        select {keys}, {", ".join(identity)}, alpha + beta * {z} as projected, {x} - alpha - beta * {z} as residual
-        from {{df}} join line using ({keys})
-        """,
+    line = sql(
+        f"""select {keys}, count(*) as n, regr_slope({x}, {z}) as beta, regr_intercept({x}, {z}) as alpha
+            from {{df}} group by {keys}""",
         df=df,
     )
+    fitted = attach(df, line, by, ["alpha", "beta"], ", ".join(identity), rows="n")
+    return fitted.selectExpr(
+        *by, *identity, f"alpha + beta * {z} as projected", f"{x} - alpha - beta * {z} as residual"
+    )
 
 
 def residual_corr(df: DataFrame, by, x1: str, x2: str, z: str) -> DataFrame:

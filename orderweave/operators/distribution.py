@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from orderweave.functions.columns import kolmogorov_tail, normal_cdf, normal_quantile
-from orderweave.operators.scan import Chunks
-from orderweave.session import sql
+from orderweave.operators.scan import Chunks, attach
+from orderweave.session import pin, sql
 
 
 def rank_values(df: DataFrame, by, column: str) -> DataFrame:
@@ -21,34 +21,17 @@ def rank_values(df: DataFrame, by, column: str) -> DataFrame:
             where {column} is not null group by {keys}, {column}""",
         df=df,
     )
-    chunks = Chunks(values, by, ["x"], "values")
-    counted = chunks.scan(sums={"upto": "n"})
-    return sql(
-        f"""
-        with totals as (select {keys}, sum(n) as total from {{values}} group by {keys})
-        select {keys}, x, n, upto - n as below, total from {{counted}} join totals using ({keys})
-        """,
-        values=chunks.frame,
-        counted=counted,
-    )
+    counted = Chunks(values, by, ["x"], "values").scan(sums={"upto": "n"}, totals={"total": "n"})
+    return counted.selectExpr(*by, "x", "n", "upto - n as below", "total")
 
 
 def number_rows(df: DataFrame, by, order, tag: str = "numbered") -> DataFrame:
     """Rows with their 1-based ``row_no`` in ``order`` and the group size ``total``."""
-    keys = ", ".join(by)
-    chunks = Chunks(df, by, order, tag)
-    return sql(
-        f"""
-        with totals as (select {keys}, count(*) as total from {{frame}} group by {keys})
-        select * from {{numbered}} join totals using ({keys})
-        """,
-        frame=chunks.frame,
-        numbered=chunks.scan(sums={"row_no": "1L"}).drop("_chunk"),
-    )
+    return Chunks(df, by, order, tag).scan(sums={"row_no": "1L"}, totals={"total": "1L"}).drop("_chunk")
 
 
 def quantiles(ranked: DataFrame, by, wanted: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``wanted``."""
+    """Exact quantiles with linear interpolation, one column per entry of ``wanted``, and the group size ``total``."""
     picks, results = [], []
     for name, q in wanted.items():
         place = f"{q}D * (total - 1)"
@@ -57,7 +40,7 @@ def quantiles(ranked: DataFrame, by, wanted: dict[str, float]) -> DataFrame:
         results.append(f"_lo_{name} + (_hi_{name} - _lo_{name}) * ({place} - floor({place})) as {name}")
     keys = ", ".join(by)
     return sql(
-        f"""select {keys}, {", ".join(results)} from (
+        f"""select {keys}, {", ".join(results)}, total from (
               select {keys}, max(total) as total, {", ".join(picks)} from {{ranked}} group by {keys})""",
         ranked=ranked,
     )
@@ -78,29 +61,31 @@ def moments(df: DataFrame, by, column: str) -> DataFrame:
     )
 
 
-def density_hist(df: DataFrame, by, column: str, bins: int, above: DataFrame | None = None) -> DataFrame:
-    """Density histogram between the extremes (one unit wide if they are equal); the last bin is closed. ``above`` (group, floor) keeps the tail."""
+def density_hist(df: DataFrame, by, column: str, bins: int, above: float | None = None) -> DataFrame:
+    """Density histogram between the extremes (one unit wide if they are equal); the last bin is closed.
+    ``above`` keeps the values beyond that quantile. Works on distinct values with their counts."""
     keys = ", ".join(by)
+    values = rank_values(df, by, column)
     if above is not None:
-        df = sql(
-            f"select d.* from {{df}} d join {{above}} using ({keys}) where {column} > floor_value", df=df, above=above
-        )
+        floor = quantiles(values, by, {"floor_value": above})
+        values = attach(values, floor, by, ["floor_value"], "x", rows="total").where("x > floor_value")
+    span = sql(
+        f"""
+        select {keys}, n_used, n_values, if(high = low, low - 0.5, low) as low,
+          (if(high = low, high + 0.5, high) - if(high = low, low - 0.5, low)) / {bins} as width
+        from (select {keys}, min(x) as low, max(x) as high, sum(n) as n_used, count(*) as n_values
+              from {{values}} group by {keys})
+        """,
+        values=values,
+    )
     return sql(
         f"""
-        with span as (
-          select {keys}, n, if(high = low, low - 0.5, low) as low, if(high = low, high + 0.5, high) as high from (
-            select {keys}, min({column}) as low, max({column}) as high, count({column}) as n
-            from {{df}} where {column} is not null group by {keys})
-        ), placed as (
-          select {keys}, low, (high - low) / {bins} as width, n,
-            cast(least(floor(({column} - low) / ((high - low) / {bins})), {bins - 1}) as int) as bin
-          from {{df}} join span using ({keys}) where {column} is not null
-        )
-        select {keys}, bin, count(*) as n_rows, min(low) + bin * min(width) as left_edge,
-          count(*) / (min(n) * min(width)) as density
-        from placed group by {keys}, bin
+        select {keys}, bin, sum(n) as n_rows, min(low) + bin * min(width) as left_edge,
+          sum(n) / (min(n_used) * min(width)) as density
+        from (select *, cast(least(floor((x - low) / width), {bins - 1}) as int) as bin from {{placed}})
+        group by {keys}, bin
         """,
-        df=df,
+        placed=attach(values, span, by, ["low", "width", "n_used"], "x", rows="n_values"),
     )
 
 
@@ -114,39 +99,45 @@ def kde(ranked: DataFrame, by, points: int, high_q: float | None = None, low_q:
     keys = ", ".join(by)
     wanted = {"q_low": low_q if low_q is not None else 0.0, "q_high": high_q if high_q is not None else 1.0}
     ends = quantiles(ranked, by, wanted)
-    used = "x > q_low" if low_q is not None else "true"
-    # weighted two-pass moments: centre first, then squares
-    return sql(
+    values = attach(ranked, ends, by, ["q_low", "q_high"], "x", rows="total").selectExpr(
+        *by, "x", "n", "q_low", "q_high", "x > q_low as used" if low_q is not None else "true as used"
+    )
+    # two passes: centre first, then squares
+    means = sql(
+        f"""select {keys}, count(*) as n_values, sum(n) as n_all, sum(n * x) / sum(n) as mean_all,
+              sum(n) filter (where used) as n_used,
+              sum(n * x) filter (where used) / sum(n) filter (where used) as mean_used
+            from {{values}} group by {keys}""",
+        values=values,
+    )
+    centred = attach(values, means, by, ["n_all", "mean_all", "n_used", "mean_used"], "x", rows="n_values")
+    shape = sql(
         f"""
-        with joined as (select {keys}, x, n, q_low, q_high, {used} as used from {{ranked}} join {{ends}} using ({keys})),
-        means as (
-          select {keys}, min(q_low) as q_low, min(q_high) as q_high, sum(n) as n_all, sum(n * x) / sum(n) as mean_all,
-            sum(n) filter (where used) as n_used,
-            sum(n * x) filter (where used) / sum(n) filter (where used) as mean_used
-          from joined group by {keys}
-        ), params as (
-          select {keys}, min(m.q_low) as low, min(m.q_high) as high, min(n_all) as n_all, min(mean_all) as mean_all,
-            min(n_used) as n_used, min(n_used) > 1 as enough,
-            sqrt(sum(n * pow(x - mean_all, 2)) / nullif(min(n_all) - 1, 0)) as sd_all,
+        select * from (
+          select {keys}, count(*) as n_values, min(q_low) as low, min(q_high) as high, min(mean_all) as mean_all,
+            min(n_used) as n_used, sqrt(sum(n * pow(x - mean_all, 2)) / nullif(min(n_all) - 1, 0)) as sd_all,
             sqrt(sum(n * pow(x - mean_used, 2)) filter (where used) / nullif(min(n_used) - 1, 0))
               * pow(min(n_used), -0.2D) as h
-          from joined j join means m using ({keys}) group by {keys}
-        ), grid as (
-          select {keys}, n_all, mean_all, sd_all, n_used, h, g as point, low + g * (high - low) / {points - 1} as grid_x
-          from params p lateral view explode(sequence(0, {points - 1})) as g where h > 0
-        ), sums as (
-          select {keys}, g as point,
-            sum(n * exp(-0.5D * pow((low + g * (high - low) / {points - 1} - x) / h, 2))) as kernel
-          from (select j.*, low, high, h from joined j join params using ({keys}) where used and h > 0)
-            lateral view explode(sequence(0, {points - 1})) as g
-          group by {keys}, g
+          from {{centred}} group by {keys})
+        where h > 0
+        """,
+        centred=centred,
+    )
+    used = attach(values.where("used"), shape, by, ["low", "high", "h"], "x", rows="n_values").where("h > 0")
+    return sql(
+        f"""
+        with sums as (
+          select {keys}, point,
+            sum(n * exp(-0.5D * pow((low + point * (high - low) / {points - 1} - x) / h, 2))) as kernel
+          from {{used}} lateral view explode(sequence(0, {points - 1})) as point
+          group by {keys}, point
         )
         select {keys}, point, grid_x, kernel / (n_used * h * sqrt(2 * pi())) as density,
           exp(-0.5D * pow((grid_x - mean_all) / sd_all, 2)) / (sd_all * sqrt(2 * pi())) as normal_density
-        from grid join sums using ({keys}, point)
+        from (select *, low + point * (high - low) / {points - 1} as grid_x from sums join {{shape}} using ({keys}))
         """,
-        ranked=ranked,
-        ends=ends,
+        used=used,
+        shape=shape,
     )
 
 
@@ -157,8 +148,7 @@ def ks_normal(ranked: DataFrame, moment: DataFrame, by) -> DataFrame:
         f"""
         with gaps as (
           select {keys}, total, below / total as before, (below + n) / total as after, {normal_cdf("z")} as cdf
-          from (select {keys}, r.n, below, total, (x - mean) / sd as z
-                from {{ranked}} r join (select {keys}, mean, sd from {{moment}}) using ({keys}) where sd > 0)
+          from (select *, (x - mean) / sd as z from {{scaled}} where sd > 0)
         ), distance as (
           select {keys}, max(total) as total, greatest(max(after - cdf), max(cdf - before)) as ks_stat
           from gaps group by {keys}
@@ -166,8 +156,7 @@ def ks_normal(ranked: DataFrame, moment: DataFrame, by) -> DataFrame:
         select {keys}, ks_stat, {kolmogorov_tail("t")} as p_value
         from (select *, sqrt(total) * ks_stat as t from distance)
         """,
-        ranked=ranked,
-        moment=moment,
+        scaled=attach(ranked, moment, by, ["mean", "sd"], "x", rows="n"),
     )
 
 
@@ -223,21 +212,21 @@ def ccdf_tail(df: DataFrame, by, column: str, ties, above: float = 0.7) -> DataF
     keys = ", ".join(by)
     rows = df.where(f"{column} is not null").selectExpr(*by, f"-{column} as neg", *ties)
     numbered = number_rows(rows, by, ["neg", *ties], "tail")
-    ranked = rank_values(df, by, column)
-    floor = quantiles(ranked, by, {"floor_value": above})
-    return sql(
+    ranked = pin(rank_values(df, by, column), "ranks")
+    law = sql(
         f"""
-        with top as (select {keys}, max(x) as top_x, max(total) as total from {{ranked}} group by {keys})
-        select {keys}, row_no, -neg as x, row_no / t.total as ccdf,
-          1 / t.total * pow(-neg / top_x, -hill_alpha) as power_law
-        from {{numbered}} n join {{floor}} using ({keys}) join {{hill}} using ({keys}) join top t using ({keys})
-        where -neg > floor_value
+        select {keys}, f.total, floor_value, top_x, hill_alpha
+        from {{floor}} f join {{hill}} using ({keys})
+          join (select {keys}, max(x) as top_x from {{ranked}} group by {keys}) using ({keys})
         """,
-        numbered=numbered,
-        floor=floor,
+        floor=quantiles(ranked, by, {"floor_value": above}),
         hill=hill_index(ranked, by),
         ranked=ranked,
     )
+    placed = attach(numbered.drop("total"), law, by, ["total", "floor_value", "top_x", "hill_alpha"], "row_no", rows="total")
+    return placed.where("-neg > floor_value").selectExpr(
+        *by, "row_no", "-neg as x", "row_no / total as ccdf", "1 / total * pow(-neg / top_x, -hill_alpha) as power_law"
+    )
 
 
 def qq_points(df: DataFrame, by, column: str, ties) -> DataFrame:

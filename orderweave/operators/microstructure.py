@@ -74,15 +74,10 @@ def fill_rate_bins(
     bounds. ``dist_left`` is the smallest distance observed, ``dist_mid`` the exact median."""
     keys = ", ".join(by)
     limit = quantiles(rank_values(orders, by, column), by, {"top": cut})
-    binned = sql(
-        f"""
-        select {keys}, cast(floor({column} / {width}) as bigint) as bin, {column} as dist, filled
-        from {{orders}} join {{limit}} using ({keys})
-        where {column} < ceil(top / {width}) * {width}
-        """,
-        orders=orders,
-        limit=limit,
-    )
+    identity = "ts, order_id, session_id, price, size"
+    binned = attach(orders, limit, by, ["top"], identity, rows="total").where(
+        f"{column} < ceil(top / {width}) * {width}"
+    ).selectExpr(*by, f"cast(floor({column} / {width}) as bigint) as bin", f"{column} as dist", "filled")
     middle = quantiles(rank_values(binned, [*by, "bin"], "dist"), [*by, "bin"], {"dist_mid": 0.5})
     return sql(
         f"""

@@ -323,27 +323,35 @@ _RESET = """array(named_struct('symbol', boundary.symbol, 'side', state.side, 'e
 def _replay(sessioned: DataFrame, ops: DataFrame, order: list[str], style: str, source: str, drop_filled: bool):
     """(events, open orders) from sessionised rows and the fold operations among them."""
     # the boundary that ends session n opens session n + 1
-    ends = sessioned.where("opens").selectExpr(
-        "file_id", "session_id - 1 as session_id", "struct(ts, symbol) as boundary"
+    ends = sql(
+        """
+        with sessions as (select file_id, session_id, count(*) as n_rows from {rows} group by file_id, session_id),
+        opened as (select file_id, session_id - 1 as session_id, struct(ts, symbol) as boundary from {rows} where opens)
+        select file_id, session_id, n_rows, boundary from sessions join opened using (file_id, session_id)
+        """,
+        rows=sessioned,
     )
     extra = [c if c in ops.columns else f"cast(null as double) as {c}" for c in ("new_size", "new_price")]
     narrow = ops.selectExpr(*_ORDER_KEY, *order, "op", "symbol", "side", "price", "size", *extra)
 
-    long_keys = pin(
-        narrow.groupBy(*_ORDER_KEY).count().where(f"count > {FOLD_ROWS}").select(*_ORDER_KEY), "long-order-keys"
-    )
-    any_long = not long_keys.isEmpty()
+    lengths = narrow.groupBy(*_ORDER_KEY).count().where(f"count > {FOLD_ROWS}")
+    lengths = pin(lengths.selectExpr(*_ORDER_KEY, "count as n_rows", "true as long"), "long-order-keys")
+    any_long = not lengths.isEmpty()
     if any_long:
-        long_out, long_final = _fold_long(narrow.join(long_keys, _ORDER_KEY, "left_semi"), order, style)
-        narrow = narrow.join(long_keys, _ORDER_KEY, "left_anti")
+        marked = attach(narrow, lengths, _ORDER_KEY, ["long"], ", ".join(order))
+        long_out, long_final = _fold_long(marked.where("long"), order, style)
+        narrow = marked.where("long is null")
+
+    def with_ends(orders: DataFrame) -> DataFrame:
+        return attach(orders, ends, ["file_id", "session_id"], ["boundary"], "order_id")
 
     live = "state.live" + (" and not coalesce(state.remaining <= 0, false)" if drop_filled else "")
     reset, still_open = f"{live} and boundary is not null", f"{live} and boundary is null"
-    closed = _fold_short(narrow, order, style).join(ends, ["file_id", "session_id"], "left")
+    closed = with_ends(_fold_short(narrow, order, style))
     events = closed.selectExpr(*_ORDER_KEY, f"inline(if({reset}, concat(out, {_RESET}), out))")
     open_orders = closed.where(still_open).select(*_ORDER_KEY, "state")
     if any_long:
-        long_closed = long_final.join(ends, ["file_id", "session_id"], "left")
+        long_closed = with_ends(long_final)
         resets = long_closed.where(reset).selectExpr(*_ORDER_KEY, f"inline({_RESET})")
         events = events.unionByName(long_out.selectExpr(*_ORDER_KEY, "inline(out)")).unionByName(resets)
         open_orders = open_orders.unionByName(long_closed.where(still_open).select(*_ORDER_KEY, "state"))

@@ -39,30 +39,36 @@ class Chunks:
         sums: dict[str, str] | None = None,
         lasts: dict[str, str] | None = None,
         lags: dict[str, str] | None = None,
+        totals: dict[str, str] | None = None,
     ) -> DataFrame:
-        """Add running sums, last non-null values (both including the row) and previous-row values.
+        """Add running sums, last non-null values (both including the row), previous-row values, and
+        sums over the whole key.
 
         ``df`` defaults to the pinned frame and may be any row-wise extension of it."""
-        sums, lasts, lags = sums or {}, lasts or {}, lags or {}
+        sums, lasts, lags, wholes = sums or {}, lasts or {}, lags or {}, totals or {}
         df = self.frame if df is None else df
-        inputs = {name: f"_in_{name}" for name in [*sums, *lasts, *lags]}
-        rows = df.selectExpr("*", *[f"{e} as {inputs[n]}" for n, e in {**sums, **lasts, **lags}.items()])
+        inputs = {name: f"_in_{name}" for name in [*sums, *lasts, *lags, *wholes]}
+        rows = df.selectExpr("*", *[f"{e} as {inputs[n]}" for n, e in {**sums, **lasts, **lags, **wholes}.items()])
 
         keys, order = ", ".join(self.keys), ", ".join(self.order)
-        totals, carries, local, result = [], [], [], []
+        tails, carries, local, result = [], [], [], []
+        for n in wholes:
+            tails.append(f"sum({inputs[n]}) as _t_{n}")
+            carries.append(f"sum(_t_{n}) over (partition by {keys}) as _c_{n}")
+            result.append(f"_c_{n} as {n}")
         for n in sums:
-            totals.append(f"sum({inputs[n]}) as _t_{n}")
+            tails.append(f"sum({inputs[n]}) as _t_{n}")
             carries.append(f"sum(_t_{n}) over before as _c_{n}")
             local.append(f"sum({inputs[n]}) over so_far as _l_{n}")
             result.append(f"coalesce(_l_{n}, 0) + coalesce(_c_{n}, 0) as {n}")
         for n in lasts:
             seen = f"filter (where {inputs[n]} is not null)"
-            totals.append(f"max_by({inputs[n]}, struct({order})) {seen} as _t_{n}")
+            tails.append(f"max_by({inputs[n]}, struct({order})) {seen} as _t_{n}")
             carries.append(f"last(_t_{n}, true) over before as _c_{n}")
             local.append(f"last({inputs[n]}, true) over so_far as _l_{n}")
             result.append(f"coalesce(_l_{n}, _c_{n}) as {n}")
         for n in lags:
-            totals.append(f"max_by({inputs[n]}, struct({order})) as _t_{n}")
+            tails.append(f"max_by({inputs[n]}, struct({order})) as _t_{n}")
             carries.append(f"lag(_t_{n}) over by_chunk as _c_{n}")
             local.append(f"lag({inputs[n]}) over in_order as _l_{n}")
             result.append(f"if(_first, _c_{n}, _l_{n}) as {n}")
@@ -71,14 +77,14 @@ class Chunks:
         kept = ", ".join(f"`{c}`" for c in df.columns)
         return sql(
             f"""
-            with totals as (
-              select {keys}, {CHUNK}, {", ".join(totals)} from {{rows}} group by {keys}, {CHUNK}
+            with tails as (
+              select {keys}, {CHUNK}, {", ".join(tails)} from {{rows}} group by {keys}, {CHUNK}
             ), carry as (
-              select {keys}, {CHUNK}, {", ".join(carries)} from totals
+              select {keys}, {CHUNK}, {", ".join(carries)} from tails
               window by_chunk as (partition by {keys} order by {CHUNK}),
                 before as (partition by {keys} order by {CHUNK} rows between unbounded preceding and 1 preceding)
             ), scanned as (
-              select *, {", ".join(local)} from {{rows}}
+              select {", ".join(["*", *local])} from {{rows}}
               window in_order as (partition by {keys}, {CHUNK} order by {order}),
                 so_far as (partition by {keys}, {CHUNK} order by {order}
                            rows between unbounded preceding and current row)
@@ -97,10 +103,11 @@ def attach(
     values: Sequence[str],
     spread_by: str,
     useful: str = "true",
+    rows: str = "n_rows",
 ) -> DataFrame:
     """Left join per-group ``values`` back onto the rows of ``df``.
 
-    ``groups`` has one row per key and its row count ``n_rows``. The largest groups (never more
+    ``groups`` has one row per key and its row count in ``rows``. The largest groups (never more
     than HOT_GROUPS) are broadcast and their rows spread by ``spread_by`` over the shuffle that
     serves all others, so no task receives a whole hot group. ``useful`` tells which groups carry
     information; the others need not be shuffled."""
@@ -114,7 +121,7 @@ def attach(
         f"""
         with hot as (
           select {key_list}, {", ".join(values)}, true as _hot from {{groups}}
-          where n_rows > {HOT_ROWS} order by n_rows desc, {key_list} limit {HOT_GROUPS}
+          where {rows} > {HOT_ROWS} order by {rows} desc, {key_list} limit {HOT_GROUPS}
         ), rows as (
           select /*+ broadcast(h) */ d.*{hot_values},
             if(h._hot, 1 + pmod(xxhash64({spread_by}), 1048576), 0) as _spread

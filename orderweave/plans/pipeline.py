@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.operators.quality import validation_report
+from orderweave.operators.scan import attach
 from orderweave.operators.replay import EVENT_COLUMNS, stage_b_q, stage_b_s
 from orderweave.session import configure, pin, sql
 from orderweave.sources.feeds import STYLE_S, file_status, read_feed, style_of
@@ -53,23 +54,26 @@ def last_file_wins(events: DataFrame) -> DataFrame:
 
     In a partition fed by several files the copy of the last file survives per key; a partition fed
     by one file is left as it is. Copies are combined before the shuffle; ``file_id`` is dropped."""
-    key = ["source", "symbol", "order_id", "session_id", "event_seq"]
-    rest = [c for c in EVENT_COLUMNS if c not in key]
+    key = ["source", "symbol", "day", "order_id", "session_id", "event_seq"]
+    rest = [c for c in EVENT_COLUMNS if c not in key and c != "ts"]
+    dated = events.selectExpr("*", "ts - pmod(ts, 86400000000000) as day")
+    days = sql(
+        """select source, symbol, day, count(*) as n_rows, count(distinct file_id) > 1 as shared
+           from {dated} group by source, symbol, day""",
+        dated=dated,
+    )
+    marked = attach(dated, days, ["source", "symbol", "day"], ["shared"], "order_id, session_id, event_seq, ts", "shared")
     return sql(
         f"""
-        with dated as (select *, ts - pmod(ts, 86400000000000) as day from {{events}}),
-        days as (
-          select source, symbol, day, count(distinct file_id) > 1 as shared from dated group by source, symbol, day
-        ), marked as (select dated.*, shared from dated join days using (source, symbol, day)),
-        latest as (
-          select {", ".join(key)}, max(struct(file_id, {", ".join(["ts", *[c for c in rest if c != "ts"]])})) as kept
-          from marked where shared group by {", ".join(key)}, day
+        with latest as (
+          select {", ".join(key)}, max(struct(file_id, ts, {", ".join(rest)})) as kept
+          from {{marked}} where shared group by {", ".join(key)}
         )
-        select {", ".join(EVENT_COLUMNS)} from marked where not shared
+        select {", ".join(EVENT_COLUMNS)} from {{marked}} where not coalesce(shared, false)
         union all
         select {", ".join(c if c in key else f"kept.{c}" for c in EVENT_COLUMNS)} from latest
         """,
-        events=events,
+        marked=marked,
     )
 
 

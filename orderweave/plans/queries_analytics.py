@@ -116,7 +116,8 @@ def _bins_twin(column: str, width: float) -> str:
 _BIN_COLUMNS = "symbol, bin, fill_rate, n_total, n_filled, dist_left, dist_mid"
 _CI = "greatest(0, centre - half) AS ci_lo, least(1, greatest(0, centre + half)) AS ci_hi"
 _USD = _bins_twin("abs_dist", 1.0)
-_BPS = _bins_twin("abs_dist_bps", 5)
+# the given prices are far apart, so the basis-point bins are wide
+_BPS = _bins_twin("abs_dist_bps", 250)
 
 
 @query("fill_rate_bins_usd", _orders(f"{_USD} SELECT {_BIN_COLUMNS} FROM wilson"), "fill_rate dist_left dist_mid")
@@ -126,7 +127,7 @@ def fill_rate_bins_usd(spark, sf):
 
 @query("fill_rate_bins_bps", _orders(f"{_BPS} SELECT {_BIN_COLUMNS} FROM wilson"), "fill_rate dist_left dist_mid")
 def fill_rate_bins_bps(spark, sf):
-    return micro.fill_rate_bins(orders_q(spark, sf), 5, "abs_dist_bps", BY).drop("ci_lo", "ci_hi")
+    return micro.fill_rate_bins(orders_q(spark, sf), 250, "abs_dist_bps", BY).drop("ci_lo", "ci_hi")
 
 
 @query("wilson_ci", _orders(f"{_USD} SELECT symbol, bin, fill_rate, n_total, {_CI} FROM wilson"), "fill_rate ci_lo ci_hi")
@@ -143,7 +144,7 @@ def wilson_ci(spark, sf):
     "half_fill_dist",
 )
 def half_fill_point(spark, sf):
-    return micro.half_fill_point(micro.fill_rate_bins(orders_q(spark, sf), 5, "abs_dist_bps", BY), BY)
+    return micro.half_fill_point(micro.fill_rate_bins(orders_q(spark, sf), 250, "abs_dist_bps", BY), BY)
 
 
 # ------------------------------------------------------------- distribution ----
@@ -203,9 +204,7 @@ _TAIL_XS = """, tail_xs AS (SELECT xs.* FROM xs JOIN (SELECT symbol, quantile_co
 
 @query("density_hist_tail", _orders(_TAIL_XS + _hist_twin(40).replace("xs", "tail_xs")), "left_edge density")
 def density_hist_tail(spark, sf):
-    filled = filled_q(spark, sf)
-    floor = dist.quantiles(dist.rank_values(filled, BY, "abs_dist"), BY, {"floor_value": 0.9})
-    return dist.density_hist(filled, BY, "abs_dist", 40, above=floor)
+    return dist.density_hist(filled_q(spark, sf), BY, "abs_dist", 40, above=0.9)
 
 
 @query(

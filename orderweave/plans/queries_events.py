@@ -172,9 +172,28 @@ def lifetime_build_q(spark, sf):
     return life.lifetimes(events_q(spark, sf))
 
 
+# A table with every kind of fault: some fields of the replayed events are spoiled by rule.
+
+_SPOIL = {
+    "event_type": "CASE WHEN event_seq = 0 AND price > 120 THEN 'TRADE' ELSE event_type END",
+    "side": "CASE WHEN event_seq = 3 THEN 'MID' ELSE side END",
+    "symbol": "CASE WHEN event_seq = 4 THEN 'OTHER' ELSE symbol END",
+    "remaining_size": "CASE WHEN event_seq = 2 AND price > 130 THEN CAST(-1 AS DOUBLE) ELSE remaining_size END",
+    "ts": "CASE WHEN event_seq = 5 THEN ts - 864000000000000 ELSE ts END",
+}
+_SPOILED_COLUMNS = [f"{_SPOIL.get(c, c)} AS {c}" for c in [*replay.EVENT_COLUMNS, "file_id"]]
+_SPOILED = f", bad AS (SELECT {', '.join(_SPOILED_COLUMNS)} FROM ev)"
+
+
+def spoiled(spark, sf):
+    return events_q(spark, sf).selectExpr(*_SPOILED_COLUMNS)
+
+
+
 def _anomaly(name: str, code: str) -> None:
-    query(name, _s(f", {o.LIFETIME} SELECT {_KEY} FROM lt WHERE anomalies LIKE '%{code}%'"))(
-        lambda spark, sf: life.lifetimes(events_s(spark, sf)).where(f"anomalies like '%{code}%'").select(
+    twin = o.LIFETIME.replace("FROM ev GROUP BY", "FROM bad GROUP BY")
+    query(name, _q(f"{_SPOILED}, {twin} SELECT {_KEY} FROM lt WHERE anomalies LIKE '%{code}%'"))(
+        lambda spark, sf: life.lifetimes(spoiled(spark, sf)).where(f"anomalies like '%{code}%'").select(
             "source", "file_id", "order_id", "session_id"
         )
     )
@@ -210,22 +229,6 @@ def outcomes_by_symbol(spark, sf):
 
 
 # -------------------------------------------------------------- validation ----
-# A table with every kind of fault: some fields of the replayed events are spoiled by rule.
-
-_SPOIL = {
-    "event_type": "CASE WHEN ts % 89 = 0 THEN 'TRADE' ELSE event_type END",
-    "side": "CASE WHEN event_seq = 3 THEN 'MID' ELSE side END",
-    "symbol": "CASE WHEN event_seq = 4 THEN 'OTHER' ELSE symbol END",
-    "remaining_size": "CASE WHEN event_seq = 2 AND price > 130 THEN CAST(-1 AS DOUBLE) ELSE remaining_size END",
-    "ts": "CASE WHEN event_seq = 5 THEN ts - 864000000000000 ELSE ts END",
-}
-_SPOILED_COLUMNS = [f"{_SPOIL.get(c, c)} AS {c}" for c in [*replay.EVENT_COLUMNS, "file_id"]]
-_SPOILED = f", bad AS (SELECT {', '.join(_SPOILED_COLUMNS)} FROM ev)"
-
-
-def spoiled(spark, sf):
-    return events_q(spark, sf).selectExpr(*_SPOILED_COLUMNS)
-
 
 _CHECKS = {
     "CHECK_UNKNOWN_EVENT": f"""SELECT DISTINCT NULL::VARCHAR AS order_id, NULL::INTEGER AS session_id,
