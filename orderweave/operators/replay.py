@@ -88,9 +88,7 @@ def effective_rows_s(rows: DataFrame) -> DataFrame:
 def sessionize_s(rows: DataFrame) -> DataFrame:
     """Number the book sessions: each run of SNAPSHOT rows in file order opens one."""
     chunks = Chunks(rows, ["file_id"], ["ts", "line_no"], "sessions")
-    rows = chunks.scan(lags={"_was_snapshot": "raw_type = 'SNAPSHOT'"})
-    rows = rows.selectExpr("*", "raw_type = 'SNAPSHOT' and not coalesce(_was_snapshot, false) as opens")
-    return chunks.scan(rows, sums={"session_id": "cast(opens as int)"}).drop("_was_snapshot")
+    return chunks.runs("raw_type = 'SNAPSHOT'", "opens", "session_id")
 
 
 def _operations_s(rows: DataFrame) -> DataFrame:

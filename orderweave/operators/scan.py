@@ -32,6 +32,15 @@ class Chunks:
         ranged = df.repartitionByRange(int(chunks), *columns) if chunks else df.repartitionByRange(*columns)
         # the chunk number is only stable once the ranges are written down
         self.frame = pin(ranged.selectExpr("*", f"spark_partition_id() as {CHUNK}"), tag)
+        last = self.frame.selectExpr(f"max({CHUNK}) as last").first()["last"]
+        self.single = not last  # everything fits one chunk: plain windows do
+
+    def _windows(self) -> str:
+        """``in_order`` and ``so_far``: the rows of a key inside one chunk."""
+        keys, order = ", ".join(self.keys), ", ".join(self.order)
+        return f"""in_order as (partition by {keys}, {CHUNK} order by {order}),
+                so_far as (partition by {keys}, {CHUNK} order by {order}
+                           rows between unbounded preceding and current row)"""
 
     def scan(
         self,
@@ -75,6 +84,12 @@ class Chunks:
         if lags:
             local.append("row_number() over in_order = 1 as _first")
         kept = ", ".join(f"`{c}`" for c in df.columns)
+        if self.single:
+            plain = [f"sum({inputs[n]}) over (partition by {keys}) as {n}" for n in wholes]
+            plain += [f"coalesce(sum({inputs[n]}) over so_far, 0) as {n}" for n in sums]
+            plain += [f"last({inputs[n]}, true) over so_far as {n}" for n in lasts]
+            plain += [f"lag({inputs[n]}) over in_order as {n}" for n in lags]
+            return sql(f"select {kept}, {', '.join(plain)} from {{rows}} window {self._windows()}", rows=rows)
         return sql(
             f"""
             with tails as (
@@ -85,9 +100,7 @@ class Chunks:
                 before as (partition by {keys} order by {CHUNK} rows between unbounded preceding and 1 preceding)
             ), scanned as (
               select {", ".join(["*", *local])} from {{rows}}
-              window in_order as (partition by {keys}, {CHUNK} order by {order}),
-                so_far as (partition by {keys}, {CHUNK} order by {order}
-                           rows between unbounded preceding and current row)
+              window {self._windows()}
             )
             select {kept}, {", ".join(result)}
             from scanned left join carry using ({keys}, {CHUNK})
@@ -96,6 +109,41 @@ class Chunks:
         )
 
 
+    def runs(self, flag: str, opens: str, number: str) -> DataFrame:
+        """Mark the first row of every maximal run of ``flag`` rows (``opens``) and number the runs so far
+        (``number``)."""
+        keys = ", ".join(self.keys)
+        kept = ", ".join(f"`{c}`" for c in self.frame.columns)
+        return sql(
+            f"""
+            with flagged as (
+              select *, coalesce({flag}, false) as _flag from {{rows}}
+            ), stepped as (
+              select *, row_number() over in_order as _row,
+                _flag and not coalesce(lag(_flag) over in_order, true) as _inner from flagged
+              window {self._windows()}
+            ), counted as (
+              select *, sum(if(_inner, 1, 0)) over so_far as _local from stepped window {self._windows()}
+            ), tails as (
+              select {keys}, {CHUNK}, sum(if(_inner, 1, 0)) as _runs,
+                min_by(_flag, _row) as _head, max_by(_flag, _row) as _tail
+              from stepped group by {keys}, {CHUNK}
+            ), heads as (
+              select *, _head and not coalesce(lag(_tail) over (partition by {keys} order by {CHUNK}), false) as _opens
+              from tails
+            ), carry as (
+              select {keys}, {CHUNK}, _opens, coalesce(sum(_runs + if(_opens, 1, 0)) over (partition by {keys}
+                order by {CHUNK} rows between unbounded preceding and 1 preceding), 0) as _before
+              from heads
+            )
+            select {kept}, if(_row = 1, _opens, _inner) as {opens},
+              cast(_before + _local + if(_opens, 1, 0) as int) as {number}
+            from counted join carry using ({keys}, {CHUNK})
+            """,
+            rows=self.frame,
+        )
+
+
 def attach(
     df: DataFrame,
     groups: DataFrame,
@@ -107,16 +155,22 @@ def attach(
 ) -> DataFrame:
     """Left join per-group ``values`` back onto the rows of ``df``.
 
-    ``groups`` has one row per key and its row count in ``rows``. The largest groups (never more
-    than HOT_GROUPS) are broadcast and their rows spread by ``spread_by`` over the shuffle that
-    serves all others, so no task receives a whole hot group. ``useful`` tells which groups carry
-    information; the others need not be shuffled."""
+    ``groups`` has one row per key and its row count in ``rows``; ``useful`` tells which groups carry
+    information. Those and the large groups are written down first, so Spark knows their size when it
+    picks the join. The largest groups (never more than HOT_GROUPS) are broadcast and their rows spread
+    by ``spread_by`` over the shuffle that serves all others, so no task receives a whole hot group."""
+    columns = list(dict.fromkeys([*keys, *values, rows]))
+    groups = pin(groups.where(f"({useful}) or {rows} > {HOT_ROWS}").select(*columns), "groups")
     key_list = ", ".join(keys)
-    on_hot = " and ".join(f"d.{k} <=> h.{k}" for k in keys)
+    kept = ", ".join(f"r.`{c}`" for c in df.columns)
     on_cool = " and ".join(f"r.{k} = c.{k}" for k in keys)
+    if groups.where(f"{rows} > {HOT_ROWS}").isEmpty():
+        found = ", ".join(f"c.{v}" for v in values)
+        return sql(f"select {kept}, {found} from {{df}} r left join {{groups}} c on {on_cool}", df=df, groups=groups)
+
+    on_hot = " and ".join(f"d.{k} <=> h.{k}" for k in keys)
     hot_values = "".join(f", h.{v} as _h_{v}" for v in values)
     picked = ", ".join(f"if(r._spread > 0, r._h_{v}, c.{v}) as {v}" for v in values)
-    kept = ", ".join(f"r.`{c}`" for c in df.columns)
     return sql(
         f"""
         with hot as (
@@ -127,7 +181,7 @@ def attach(
             if(h._hot, 1 + pmod(xxhash64({spread_by}), 1048576), 0) as _spread
           from {{df}} d left join hot h on {on_hot}
         ), cool as (
-          select {key_list}, {", ".join(values)}, 0L as _spread from {{groups}} where {useful}
+          select {key_list}, {", ".join(values)}, 0L as _spread from {{groups}}
         )
         select {kept}, {picked} from rows r left join cool c on {on_cool} and r._spread = c._spread
         """,

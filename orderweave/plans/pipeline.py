@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.operators.quality import validation_report
-from orderweave.operators.scan import attach
 from orderweave.operators.replay import EVENT_COLUMNS, stage_b_q, stage_b_s
-from orderweave.session import configure, pin, sql
-from orderweave.sources.feeds import STYLE_S, file_status, read_feed, style_of
+from orderweave.operators.scan import attach
+from orderweave.session import configure, pin, release, sql
+from orderweave.sources.feeds import STYLE_S, file_status, normalise, scan_csv, style_of
 from orderweave.sources.store import PARTITION, write_events
 
 
@@ -37,8 +37,14 @@ def run_files(
 
     A file whose name or times cannot be read is reported and left out; the others go on.
     Findings of the validation do not stop the write."""
+    raw = scan_csv(configure(spark), paths, style_of(source), glob)
+    return run_rows(raw, source, root, symbol, mode)
+
+
+def run_rows(raw: DataFrame, source: str, root: str, symbol: str | None = None, mode: str = "merge") -> PipelineResult:
+    """As ``run_files``, from raw rows that carry ``file_id`` and ``line_no``."""
     style = style_of(source)
-    rows = pin(read_feed(configure(spark), paths, style, symbol, glob), "stage-a")
+    rows = pin(normalise(raw, style, symbol), "stage-a")
     files = pin(file_status(rows), "files")
     good = rows.join(files.where("succeeded"), "file_id", "left_semi")
     replay = stage_b_s if style is STYLE_S else stage_b_q
@@ -93,6 +99,7 @@ def main(argv: list[str] | None = None) -> None:
     if result.touched is not None:
         result.report.show(truncate=False)
         result.touched.orderBy(*PARTITION).show(truncate=False)
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -45,8 +45,20 @@ def work_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/orderweave-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's pinned tables once its results are stored elsewhere.
+
+    Frames that read them, and remembered query inputs, must not be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, tag: str) -> DataFrame:

@@ -95,22 +95,29 @@ def scan_csv(spark: SparkSession, paths: str | list[str], style: FeedStyle, glob
     """All raw rows of one or many files as text, with ``file_id`` and the line position.
 
     ``line_no`` orders lines inside a file however Spark splits it: block offset, then row in the block."""
+    reader = configure_reader(configure(spark).read, style, glob)
+    return placed_lines(reader.csv(paths).selectExpr("*", "_metadata as _file"), style)
+
+
+def configure_reader(reader, style: FeedStyle, glob: str | None = None):
+    """Set a batch or stream reader up for the files of a style."""
     reader = (
-        configure(spark)
-        .read.schema(", ".join(f"`{c}` string" for c in style.columns))
+        reader.schema(", ".join(f"`{c}` string" for c in style.columns))
         .option("sep", style.separator)
         .option("header", True)
         .option("recursiveFileLookup", True)
     )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def placed_lines(rows: DataFrame, style: FeedStyle) -> DataFrame:
+    """``file_id`` and ``line_no`` from the file metadata in ``_file``."""
     # a file may be written in parts below a directory that carries its name
-    name = rf"regexp_extract(_metadata.file_path, '([^/=]+[.]csv)(?:/part-[^/]*)?$', 1)"
-    return reader.csv(paths).selectExpr(
+    return rows.selectExpr(
         *style.columns,
-        f"{name} as file_id",
-        "struct(_metadata.file_name as part, _metadata.file_block_start as block, "
-        "monotonically_increasing_id() as row) as line_no",
+        "regexp_extract(_file.file_path, '([^/=]+[.]csv)(?:/part-[^/]*)?$', 1) as file_id",
+        "struct(_file.file_name as part, _file.file_block_start as block, monotonically_increasing_id() as row)"
+        " as line_no",
     )
 
 
@@ -174,16 +181,19 @@ def stage_a(raw: DataFrame, style: FeedStyle, symbol: str | None = None) -> Data
     )
 
 
-def read_feed(
-    spark: SparkSession, paths: str | list[str], style: FeedStyle, symbol: str | None = None, glob: str | None = None
-) -> DataFrame:
-    """Files to Stage A rows. Style-S takes date and symbol from the file name."""
-    raw = scan_csv(spark, paths, style, glob)
+def normalise(raw: DataFrame, style: FeedStyle, symbol: str | None = None) -> DataFrame:
+    """Raw file rows to Stage A rows. Style-S takes date and symbol from the file name."""
     if style.date_from_name:
         raw = with_injected_date(with_file_meta(raw, style), style)
     return stage_a(raw, style, symbol)
 
 
+def read_feed(
+    spark: SparkSession, paths: str | list[str], style: FeedStyle, symbol: str | None = None, glob: str | None = None
+) -> DataFrame:
+    return normalise(scan_csv(spark, paths, style, glob), style, symbol)
+
+
 def in_time_order(rows: DataFrame) -> DataFrame:
     """Stage A rows sorted by time; equal times keep line order."""
     return rows.orderBy("ts", "file_id", "line_no")

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderweave.functions.columns import utc_date
 from orderweave.session import configure, pin, sql
@@ -127,7 +128,7 @@ def list_available(
     if stored is None:
         return spark.createDataFrame([], "source string, symbol string, date string, rows bigint, path string")
     if source:
-        stored = stored.where(f"upper(source) = upper('{source}')")
+        stored = stored.where(F.upper(stored.source) == source.upper())
     if symbol:
         stored = stored.where(stored.symbol == symbol)
     return (
