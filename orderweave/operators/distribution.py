@@ -27,6 +27,9 @@ def rank_values(df: DataFrame, by, column: str) -> DataFrame:
 
 def number_rows(df: DataFrame, by, order, tag: str = "numbered") -> DataFrame:
     """Rows with their 1-based ``row_no`` in ``order`` and the group size ``total``."""
+    taken = {"row_no", "total"} & set(df.columns)
+    if taken:
+        raise ValueError(f"column(s) {sorted(taken)} would be overwritten")
     return Chunks(df, by, order, tag).scan(sums={"row_no": "1L"}, totals={"total": "1L"}).drop("_chunk")
 
 
