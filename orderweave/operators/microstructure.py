@@ -164,16 +164,17 @@ def interarrival_hist(events: DataFrame, points: int = 1000) -> DataFrame:
     gaps = fill_gaps(events)
     return sql(
         f"""
-        with scale as (select bround(max(gap_sec), -2) / {points - 1} as step from {{gaps}}),
+        with scale as (select nullif(bround(max(gap_sec), -2), 0) / {points - 1} as step from {{gaps}}),
         placed as (
-          select step, gap_sec, least(cast(floor(gap_sec / step) as int), {points - 1}) as i
-          from {{gaps}} join scale on step > 0
+          select *, least(cast(floor(gap_sec / step) as int), {points - 1}) as i
+          from (select gap_sec, (select step from scale) as step from {{gaps}})
         ), counts as (
           select i, count(*) as n from placed
           where gap_sec > i * step and (i = {points - 1} or gap_sec < (i + 1) * step) group by i
         )
         select i as bin, i * step as left_sec, coalesce(n, 0) as n_gaps
-        from (select explode(sequence(0, {points - 1})) as i, step from scale where step > 0) left join counts using (i)
+        from (select explode(sequence(0, {points - 1})) as i, step from scale where step is not null)
+          left join counts using (i)
         """,
         gaps=gaps,
     )

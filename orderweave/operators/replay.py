@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from orderweave.operators import scan
 from orderweave.operators.scan import Chunks, attach
-from orderweave.session import configure, pin, sql
+from orderweave.session import configure, fresh_path, pin, sql
 
 EVENT_COLUMNS = [
     "order_id", "session_id", "symbol", "source", "side", "event_type",
@@ -35,8 +36,7 @@ def same_instant_pairs(rows: DataFrame) -> DataFrame:
     groups = sql(
         f"""
         select {key}, count(*) as n_rows,
-          coalesce(max(raw_type = 'DELETE' and size = 0), false) as zero_delete,
-          max(raw_type = 'ADD') as has_add, max(raw_type = 'SUB') as has_sub,
+          coalesce(max(raw_type = 'DELETE' and size = 0), false) as zero_delete, max(raw_type = 'ADD') as has_add,
           max(raw_type = 'ADD') and max(raw_type = 'SUB') as both_kinds
         from {{rows}} group by {key}
         """,
@@ -49,7 +49,9 @@ def same_instant_pairs(rows: DataFrame) -> DataFrame:
         """,
         rows=rows,
     )
-    sizes = attach(sizes, groups, ["file_id", "order_id", "ts"], ["both_kinds"], "size", "both_kinds")
+    # only instants that can matter, and the large ones, which need care in the joins
+    groups = pin(groups.where(f"both_kinds or (zero_delete and has_add) or n_rows > {scan.HOT_ROWS}"), "instants")
+    sizes = attach(sizes, groups, ["file_id", "order_id", "ts"], ["both_kinds"], "size", pinned=True)
     return sql(
         f"""
         with celled as (
@@ -251,8 +253,8 @@ def _packed(order: list[str]) -> str:
     return f"array_sort(collect_list(struct({', '.join(columns)}))) as history"
 
 
-_FOLDED = """named_struct('live', f.live, 'remaining', f.remaining, 'price', f.price, 'side', f.side,
-  'seq', f.seq) as state, f.out as out"""
+_FOLDED_STATE = """named_struct('live', f.live, 'remaining', f.remaining, 'price', f.price, 'side', f.side,
+  'seq', f.seq) as state"""
 
 
 def _fold_short(ops: DataFrame, order: list[str], style: str) -> DataFrame:
@@ -261,7 +263,7 @@ def _fold_short(ops: DataFrame, order: list[str], style: str) -> DataFrame:
         f"""
         with histories as (select {key}, {_packed(order)} from {{ops}} group by {key}),
         folded as (select {key}, {_fold(style)} as f from histories)
-        select {key}, {_FOLDED} from folded
+        select {key}, {_FOLDED_STATE}, f.out as out from folded
         """,
         ops=ops,
     )
@@ -275,36 +277,27 @@ def _fold_long(ops: DataFrame, order: list[str], style: str) -> tuple[DataFrame,
     chunks = Chunks(ops, _ORDER_KEY, order, "long-orders")
     numbered = chunks.scan(sums={"life": "if(op = 'ADD', 1L, 0L)", "row_no": "1L"})
     numbered = chunks.scan(numbered, lasts={"born_row": "if(op = 'ADD', row_no, null)"})
-    pieces = pin(
-        numbered.selectExpr("*", f"cast((row_no - coalesce(born_row, 1)) div {FOLD_ROWS} as int) as slice"),
-        "long-order-pieces",
-    )
+    cut = numbered.selectExpr("*", f"cast((row_no - coalesce(born_row, 1)) div {FOLD_ROWS} as int) as slice")
+    key = [*_ORDER_KEY, "life"]
+    # one directory per slice, so that a round reads its own rows only
+    pieces = pin(cut.repartitionByRange("slice", *key), "long-order-pieces", ["slice"])
 
-    key = ", ".join([*_ORDER_KEY, "life"])
+    spark, done = pieces.sparkSession, fresh_path(pieces.sparkSession, "long-order-folds")
     slices = pieces.selectExpr("max(slice) as last").first()["last"] + 1
-    parts: list[DataFrame] = []
+    keys = ", ".join(key)
     for k in range(slices):
-        before = parts[-1] if parts else pieces.sparkSession.sql(
-            f"select cast(null as string) as file_id, 0 as session_id, '' as order_id, 0L as life, {_DEAD} as state"
-        ).where("file_id is not null")
-        folded = sql(
-            f"""
-            with histories as (
-              select {key}, {_packed(order)} from {{pieces}} where slice = {k} group by {key}
-            ), started as (
-              select h.*, coalesce(b.state, {_DEAD}) as state
-              from histories h left join {{before}} b using ({key})
-            ), folded as (select {key}, {_fold(style, "state")} as f from started)
-            select {key}, {_FOLDED}, {k} as slice from folded
-            """,
-            pieces=pieces,
-            before=before,
+        histories = sql(
+            f"select {keys}, {_packed(order)} from {{pieces}} where slice = {k} group by {keys}", pieces=pieces
         )
-        parts.append(pin(folded, "long-order-slice"))
-
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+        if k == 0:
+            started = histories.selectExpr("*", f"{_DEAD} as state")
+        else:
+            before = spark.read.parquet(f"{done}/slice={k - 1}").select(*key, "state")
+            started = histories.join(before, key, "left")
+        folded = started.selectExpr(*key, f"{_fold(style, 'state')} as f").selectExpr(*key, _FOLDED_STATE, "f.out as out")
+        folded.write.parquet(f"{done}/slice={k}")
+
+    union = spark.read.parquet(done).selectExpr(*key, "state", "out", "cast(slice as int) as slice")
     final = sql(
         f"""select {", ".join(_ORDER_KEY)}, max_by(state, struct(life, slice)) as state
             from {{union}} group by {", ".join(_ORDER_KEY)}""",

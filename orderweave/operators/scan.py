@@ -152,15 +152,18 @@ def attach(
     spread_by: str,
     useful: str = "true",
     rows: str = "n_rows",
+    pinned: bool = False,
 ) -> DataFrame:
     """Left join per-group ``values`` back onto the rows of ``df``.
 
     ``groups`` has one row per key and its row count in ``rows``; ``useful`` tells which groups carry
     information. Those and the large groups are written down first, so Spark knows their size when it
     picks the join. The largest groups (never more than HOT_GROUPS) are broadcast and their rows spread
-    by ``spread_by`` over the shuffle that serves all others, so no task receives a whole hot group."""
-    columns = list(dict.fromkeys([*keys, *values, rows]))
-    groups = pin(groups.where(f"({useful}) or {rows} > {HOT_ROWS}").select(*columns), "groups")
+    by ``spread_by`` over the shuffle that serves all others, so no task receives a whole hot group.
+    ``pinned`` tells that ``groups`` is already such a table."""
+    if not pinned:
+        columns = list(dict.fromkeys([*keys, *values, rows]))
+        groups = pin(groups.where(f"({useful}) or {rows} > {HOT_ROWS}").select(*columns), "groups")
     key_list = ", ".join(keys)
     kept = ", ".join(f"r.`{c}`" for c in df.columns)
     on_cool = " and ".join(f"r.{k} = c.{k}" for k in keys)

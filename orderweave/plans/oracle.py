@@ -189,12 +189,6 @@ RANKS = """ranks AS (
     rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2.0 AS ry,
     count(*) OVER (PARTITION BY symbol) AS total FROM pairs)"""
 
-TAU = """tau AS (
-  SELECT symbol, sum(sign(a.x - b.x) * sign(a.y - b.y))
-    / (sqrt(CAST(sum(CASE WHEN a.x <> b.x THEN 1 ELSE 0 END) AS DOUBLE))
-     * sqrt(CAST(sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) AS DOUBLE))) AS kendall
-  FROM pairs a JOIN pairs b USING (symbol) WHERE a.row_no < b.row_no GROUP BY symbol)"""
-
 PCA = """cov AS (
   SELECT symbol, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, var_samp(a) AS var_a, var_samp(b) AS var_b,
     covar_samp(a, b) AS cov_ab FROM (SELECT symbol, ln(1 + x) AS a, y AS b FROM pairs) l GROUP BY symbol),
