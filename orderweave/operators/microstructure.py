@@ -135,7 +135,7 @@ def fill_count_bins(events: DataFrame, minutes: int, zone: str = "America/New_Yo
         ), days as (select cast(at as date) as day, count(*) as n from fills group by 1),
         busiest as (select min_by(day, struct(-n, day)) as day from days),
         slots as (
-          select (hour(at) * 60 + minute(at)) div {minutes} * {minutes} as minute_of_day, cast(at as date) as day
+          select cast((hour(at) * 60 + minute(at)) div {minutes} * {minutes} as int) as minute_of_day, cast(at as date) as day
           from fills where cast(at as date) = (select day from busiest)
             and hour(at) * 60 + minute(at) >= 570 and hour(at) < 16
         )

@@ -132,7 +132,7 @@ def effective_rows_q(rows: DataFrame) -> DataFrame:
 def sessionize_q(rows: DataFrame) -> DataFrame:
     """Number the book sessions: every R row opens one."""
     chunks = Chunks(rows.selectExpr("*", "raw_type = 'R' as opens"), ["file_id"], _Q_ORDER, "sessions")
-    return chunks.scan(sums={"session_id": "cast(opens as int)"})
+    return chunks.scan(sums={"_opened": "cast(opens as int)"}).selectExpr("*", "cast(_opened as int) as session_id")
 
 
 def _operations_q(rows: DataFrame) -> DataFrame:
