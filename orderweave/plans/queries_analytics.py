@@ -249,6 +249,20 @@ def kde_grid_tail(spark, sf):
     return dist.kde(dist.rank_values(filled_q(spark, sf), BY, "abs_dist"), BY, 400, low_q=0.9)
 
 
+@query(
+    "kde_grid_pc1",
+    _pca(
+        f""", xs AS (SELECT p.symbol, (ln(1 + x) - mean_a) * pc1_a + (y - mean_b) * pc1_b AS x
+          FROM pairs p JOIN pca USING (symbol)) {_kde_twin(400, "true", "min(x)", "max(x)")}"""
+    ).replace(", xs AS (SELECT symbol, abs_dist", ", filled_xs AS (SELECT symbol, abs_dist", 1)
+    .replace("\nxs AS (SELECT symbol, abs_dist", "\nfilled_xs AS (SELECT symbol, abs_dist", 1),
+    "grid_x density normal_density",
+)
+def kde_grid_pc1(spark, sf):
+    scores = dep.pc1_scores(log_pairs_q(spark, sf), pca_q(spark, sf), BY, "a", "b", ["row_no"])
+    return dist.kde(dist.rank_values(scores, BY, "score"), BY, 400)
+
+
 @query(
     "gaussian_ref_pdf",
     _orders(f", kde AS (WITH zero AS (SELECT 1) {_KDE}) SELECT symbol, point, grid_x, normal_density FROM kde"),
