@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderweave.llm.ship import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,3 +32,29 @@ def op3_minhash_near_dedup(spark, sf_dir):
     from orderweave.llm.near_copies import near_copies
 
     return near_copies(documents(spark, sf_dir))
+
+
+@query
+def op4_packing(spark, sf_dir):
+    from orderweave.llm.packing import packed
+
+    return packed(documents(spark, sf_dir))
+
+
+@query
+def op5_bpe(spark, sf_dir):
+    from orderweave.llm.bpe import decoded, encoded
+
+    return decoded(encoded(documents(spark, sf_dir))).selectExpr(
+        "doc_id",
+        "cast(size(ids) as long) as n_tokens",
+        "sha2(concat_ws(' ', cast(ids as array<string>)), 256) as ids_sha256",
+        "sha2(decoded, 256) as decoded_sha256",
+    )
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    from orderweave.llm.quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
