@@ -58,3 +58,16 @@ def op8_quality_rules(spark, sf_dir):
     from orderweave.llm.quality import quality
 
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_secret_scans(spark, sf_dir):
+    from orderweave.llm.credentials import secrets
+
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return secrets(documents(spark, sf_dir)).selectExpr(
+        "doc_id",
+        *[f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}" for k in ("assign", "access", "hex")],
+        f"sha2({joined.format('base')}, 256) as base_sha256",
+        f"{joined.format('spans')} as spans",
+    )
