@@ -71,3 +71,12 @@ def op6_secret_scans(spark, sf_dir):
         f"sha2({joined.format('base')}, 256) as base_sha256",
         f"{joined.format('spans')} as spans",
     )
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    from orderweave.llm.fuzzy_lines import repeated_lines
+
+    return repeated_lines(documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_worded", "cast(size(dropped) as long) as n_dropped", "array_join(transform(dropped, x -> cast(x as string)), ',') as dropped"
+    )

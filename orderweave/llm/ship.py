@@ -12,8 +12,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application: operators run its functions in Python workers,
+    """Bound the batches that workers get, and send the package to the executors, once per application: operators run its functions in Python workers,
     which need not have it installed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
