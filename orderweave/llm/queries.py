@@ -80,3 +80,10 @@ def op1_line_dedup(spark, sf_dir):
     return repeated_lines(documents(spark, sf_dir)).selectExpr(
         "doc_id", "n_worded", "cast(size(dropped) as long) as n_dropped", "array_join(transform(dropped, x -> cast(x as string)), ',') as dropped"
     )
+
+
+@query
+def op9_lm_scoring(spark, sf_dir):
+    from orderweave.llm.suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(documents(spark, sf_dir))
