@@ -87,3 +87,10 @@ def op9_lm_scoring(spark, sf_dir):
     from orderweave.llm.suffix_tree import suffix_tree_scores
 
     return suffix_tree_scores(documents(spark, sf_dir))
+
+
+@query
+def op10_embedding_near_dedup(spark, sf_dir):
+    from orderweave.llm.vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
