@@ -94,3 +94,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     from orderweave.llm.vectors import near_vectors
 
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
