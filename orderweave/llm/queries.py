@@ -101,3 +101,10 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    from orderweave.llm.perplexity import trusted_perplexity
+
+    return trusted_perplexity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
