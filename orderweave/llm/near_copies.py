@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from orderweave.llm.components import components
+from orderweave.llm.linking import linked_groups
 from orderweave.llm.words import Words, mix, pieces, signed
 from orderweave.session import configure, pin, sql
 
@@ -23,11 +22,16 @@ _RNG = np.random.default_rng(7)
 _TIMES = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _PLUS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH // 64)]
-_SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS)
+#: Bits of the parity bitmap of a whole set.
+FULL = 2048
+_FULL_COLUMNS = [f"p{i}" for i in range(FULL // 64)]
+_BITMAPS = [*_SKETCH_COLUMNS, *_FULL_COLUMNS]
+_SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, "
+_SCHEMA += ", ".join(f"{c} long" for c in [*_SKETCH_COLUMNS, *_FULL_COLUMNS])
 
 
 def _sketches(batches):
-    """Per document: set size, a 128-bit fingerprint of the set, band keys, odd sketch."""
+    """Per document: set size, a 128-bit fingerprint of the set, band keys, odd sketches of its samples and of the set."""
     for batch in batches:
         for part in pieces(batch, "text"):
             sets = Words(part.column("text")).shingle_sets(SHINGLE)
@@ -36,11 +40,14 @@ def _sketches(batches):
             f1, f2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             bands = np.zeros((len(sets), BANDS), np.uint64)
             bits = np.zeros((len(sets), SKETCH), np.uint8)
+            whole = np.zeros((len(sets), FULL), np.uint8)
             if len(full):
                 values = np.concatenate([sets[i] for i in full])
                 at = np.cumsum(sizes[full]) - sizes[full]
                 f1[full] = np.add.reduceat(mix(values), at)
                 f2[full] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x5851F42D4C957F2D)), at)
+                place = np.repeat(full * FULL, sizes[full]) + (mix(values) >> np.uint64(64 - FULL.bit_length() + 1)).astype(np.int64)
+                whole = (np.bincount(place, minlength=len(sets) * FULL) & 1).astype(np.uint8).reshape(len(sets), FULL)
                 for b in range(BANDS):
                     key = np.full(len(full), b + 1, np.uint64)
                     for j in range(b * ROWS, (b + 1) * ROWS):
@@ -48,16 +55,20 @@ def _sketches(batches):
                         key = mix(key ^ low)
                         bits[full, mix(low + np.uint64(j)) % np.uint64(SKETCH)] ^= 1
                     bands[full, b] = key
-            words = np.packbits(bits, axis=1).view(np.int64)
+            words = np.packbits(np.concatenate((bits, whole), axis=1), axis=1).view(np.int64)
             flat_bands = pa.array(signed(bands.reshape(-1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat_bands)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), lists]
                 + [pa.array(words[:, i].copy()) for i in range(words.shape[1])],
-                ["doc_id", "n_shingles", "f1", "f2", "bands", *_SKETCH_COLUMNS],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", *_SKETCH_COLUMNS, *_FULL_COLUMNS],
             )
 
 
+def _fingerprint(sets: list[np.ndarray]) -> np.ndarray:
+    return signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))
+
+
 def _confirmed(percent: int):
     def confirm(batches):
         for batch in batches:
@@ -66,119 +77,80 @@ def _confirmed(percent: int):
                 right = Words(part.column("text_b")).shingle_sets(SHINGLE)
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - both
-                ok = pa.array((union > 0) & (100 * both >= percent * union))
+                # where a doc_id has several texts, only those meant count
+                meant = (_fingerprint(left) == part.column("a").to_numpy()) & (_fingerprint(right) == part.column("b").to_numpy())
+                ok = pa.array(meant & (union > 0) & (100 * both >= percent * union))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(ok)
 
     return confirm
 
 
-def _likely(x: str, y: str) -> str:
-    """SQL: the similarity told by two odd sketches is SIFT or more. With z bits different, about
-    -n/2 ln(1 - 2z/n) samples differ, each unlike pair of k samples giving two."""
+def _likely(x: str, y: str, percent: int) -> str:
+    """SQL: two rows may be linked, by their odd sketches.
+
+    Of the sketched samples, with z bits different about -n/2 ln(1 - 2z/n) samples differ, each unlike pair of k giving
+    two: pairs with an estimate under SIFT go. In the bitmaps of the whole sets no more bits differ than shingles do, and a
+    link allows only (100 - percent) / (100 + percent) of both sizes together; so this test loses no link at all."""
     z = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _SKETCH_COLUMNS)
+    whole = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _FULL_COLUMNS)
     k = BANDS * ROWS
     most = (1 - np.exp(-4 * k * (1 - SIFT) / SKETCH)) * SKETCH / 2
-    return f"({z}) <= {most:.4f}"
+    both = f"({x}.n_shingles + {y}.n_shingles)"
+    sizes = f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
+    return f"{sizes} and ({z}) <= {most:.4f} and {100 + percent} * ({whole}) <= {100 - percent} * {both}"
 
 
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are not read).
 
-    Documents are linked if 100 * shared >= ``percent`` * all of their distinct 5-word shingles (A-Z lower-cased; fewer
-    words are one shingle). Null, empty and blank texts have no shingles and no links. Rows with one doc_id are
-    one document and share the links of all its texts; a null doc_id is linked with nothing and kept.
+    Rows are linked if 100 * shared >= ``percent`` * all of their distinct 5-word shingles (A-Z lower-cased; fewer
+    words are one shingle). Null, empty and blank texts have no shingles and no links. A row with a null doc_id is linked
+    with nothing and kept. Rows that repeat a doc_id are each dealt with by their own text.
 
-    Equal sets are folded into their smallest doc_id first. Within a band's bucket every member is compared with the
-    smallest one; then, by components, pairs that are still apart are compared among themselves, so a large group
-    costs a pass over its members, and no pair of a bucket is left out. Candidates whose odd sketches are too
-    different go; the rest are confirmed on full shingle sets."""
-    spark = configure(docs.sparkSession)
+    Equal sets are folded first, known by a 64-bit fingerprint. The rest share the keys of MinHash bands; candidates whose
+    odd sketches are too different go, and the others are confirmed on full shingle sets (see ``linked_groups``)."""
+    configure(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rows = pin(docs.mapInArrow(_sketches, _SCHEMA), "sketches")
+    rows = pin(docs.mapInArrow(_sketches, _SCHEMA).selectExpr("*", "monotonically_increasing_id() as row"), "sketches")
     sets = pin(
-        sql("select f1, f2, min(doc_id) as rep from {r} where n_shingles > 0 and doc_id is not null group by f1, f2", r=rows), "sets"
-    )
-    reps = pin(
         sql(
-            f"""select distinct r.doc_id, r.bands, {", ".join(f"r.{c}" for c in _SKETCH_COLUMNS)}
-                from {{rows}} r join {{sets}} s on r.f1 = s.f1 and r.f2 = s.f2 and r.doc_id = s.rep""",
-            rows=rows,
-            sets=sets,
+            """select f1, f2, min(doc_id) as rep, min_by(row, doc_id) as row from {r}
+               where n_shingles > 0 and doc_id is not null group by f1, f2""",
+            r=rows,
         ),
-        "reps",
+        "sets",
     )
-    members = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = pin(
-        sql("select key, count(*) as n, min(doc_id) as lo, max(doc_id) as hi from {m} group by key having count(*) > 1", m=members),
-        "buckets",
-    )
-    large = sql("select key, lo from {b} where n > 2", b=buckets)
-    crowd = pin(sql("select m.key, m.doc_id, l.lo from {m} m join {l} l on m.key = l.key", m=members, l=large), "crowd")
-    first = sql(
-        """select distinct lo as a, hi as b from {b} where n = 2 and lo <> hi
-           union select distinct lo, doc_id from {c} where lo <> doc_id""",
-        b=buckets,
-        c=crowd,
-    )
-    first = pin(_sift(first, reps), "pairs")
-    # whole texts of those documents that share a bucket, for both rounds
-    wanted = sql("select distinct doc_id from (select explode(array(lo, hi)) as doc_id from {b} union all select doc_id from {c})", b=buckets, c=crowd)
-    wanted = pin(wanted, "wanted")
-    texts = pin(sql("select d.doc_id, d.text from {d} d left semi join {w} w on d.doc_id = w.doc_id", d=docs, w=wanted), "texts")
-    links = pin(_confirm(first, texts, percent), "links")
-
-    # what is still apart inside the larger buckets
-    parts = pin(components(links), "parts")
-    placed = pin(
+    nodes = pin(
         sql(
-            f"""select c.key, c.doc_id, c.lo, coalesce(p.component, c.doc_id) as part, {", ".join(f"r.{c}" for c in _SKETCH_COLUMNS)}
-                from {{crowd}} c left join {{parts}} p on c.doc_id = p.node join {{reps}} r on c.doc_id = r.doc_id""",
-            crowd=crowd,
-            parts=parts,
-            reps=reps,
+            f"""select s.f1 as node, r.doc_id, r.n_shingles, r.bands as keys, {", ".join(_BITMAPS)}
+                from {{rows}} r join {{sets}} s on r.row = s.row""",
+            rows=rows,
+            sets=sets,
         ),
-        "placed",
+        "nodes",
     )
-    split = pin(sql("select key from {p} group by key having min(part) <> max(part)", p=placed), "split")
-    apart = pin(sql("select p.* from {p} p left semi join {s} s on p.key = s.key where p.doc_id <> p.lo", p=placed, s=split), "apart")
-    second = pin(
-        sql(
-            f"""select distinct a.doc_id as a, b.doc_id as b from {{apart}} a join {{apart}} b
-                on a.key = b.key and a.doc_id < b.doc_id and a.part <> b.part and {_likely("a", "b")}""",
-            apart=apart,
-        ),
-        "pairs",
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        owners = sql("select w.node, n.doc_id from {w} w join {n} n on w.node = n.node", w=wanted, n=nodes)
+        return sql("select o.node, d.text from {d} d join {o} o on d.doc_id = o.doc_id", d=docs, o=owners)
+
+    parts = linked_groups(
+        nodes,
+        ["n_shingles", *_BITMAPS],
+        lambda x, y: _likely(x, y, percent),
+        texts,
+        lambda pairs: pairs.mapInArrow(_confirmed(percent), "a long, b long"),
     )
-    if not second.isEmpty():
-        more = pin(_confirm(second, texts, percent), "links")
-        if not more.isEmpty():
-            parts = pin(components(links.unionByName(more)), "parts")
+    least = sql("select p.component as part, min(s.rep) as component from {s} s join {p} p on s.f1 = p.node group by p.component", s=sets, p=parts)
+    least = pin(least, "least")
+    classes = pin(sql("select p.node, l.component from {p} p join {l} l on p.component = l.part", p=parts, l=least), "classes")
     return sql(
-        """select r.doc_id, r.n_shingles, coalesce(p.component, s.rep, r.doc_id) as component_id,
-             r.doc_id is null or r.doc_id = coalesce(p.component, s.rep, r.doc_id) as kept
+        """select r.doc_id, r.n_shingles, coalesce(c.component, s.rep, r.doc_id) as component_id,
+             r.doc_id is null or r.doc_id = coalesce(c.component, s.rep, r.doc_id) as kept
            from {rows} r
            left join {sets} s on r.f1 = s.f1 and r.f2 = s.f2 and r.n_shingles > 0 and r.doc_id is not null
-           left join {parts} p on coalesce(s.rep, r.doc_id) = p.node""",
+           left join {classes} c on s.f1 = c.node""",
         rows=rows,
         sets=sets,
-        parts=parts,
-    )
-
-
-def _sift(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    return sql(
-        f"""select p.a, p.b from {{pairs}} p join {{reps}} x on p.a = x.doc_id join {{reps}} y on p.b = y.doc_id
-            where {_likely("x", "y")}""",
-        pairs=pairs,
-        reps=reps,
-    )
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    both = sql(
-        """select p.a, p.b, x.text as text_a, y.text as text_b
-           from {p} p join {t} x on p.a = x.doc_id join {t} y on p.b = y.doc_id""",
-        p=pairs,
-        t=texts,
+        classes=classes,
     )
-    return both.mapInArrow(_confirmed(percent), "a long, b long")
