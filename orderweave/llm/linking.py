@@ -55,8 +55,7 @@ def linked_groups(
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pin(sql("select distinct explode(array(a, b)) as node from {p}", p=pairs), "ends")
-        found = pin(texts(ends), "texts")
+        found = pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=pairs)), "texts")
         both = sql(
             """select p.a, p.b, x.text as text_a, y.text as text_b
                from {p} p join {t} x on p.a = x.node join {t} y on p.b = y.node""",
@@ -87,7 +86,7 @@ def linked_groups(
     rest = pin(
         sql(
             f"""select a.node as a, b.node as b from {{apart}} a join {{apart}} b
-                on a.key = b.key and a.node < b.node and a.part <> b.part and {likely("a", "b")}
+                on a.key = b.key and a.part <> b.part and a.node < b.node and {likely("a", "b")}
                 and not arrays_overlap(slice(a.keys, 1, a.band), slice(b.keys, 1, a.band))""",
             apart=apart,
         ),

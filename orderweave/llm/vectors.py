@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderweave.llm.components import components
+from orderweave.llm.components import components, roots
 from orderweave.session import configure, pin, sql
 
 SIMILARITY = 0.93
@@ -117,21 +117,6 @@ def _place(models):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest connected place of each of n places, for links between places a and b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 _FOUND = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
 
@@ -174,7 +159,7 @@ def _meet(models, least: float):
         nodes, place = np.unique(np.concatenate(node), return_inverse=True)
         pa_, pb = place[: len(x)][a], place[len(x) :][b]
         n = np.bincount(pa_, weight[1][b], len(nodes)) + np.bincount(pb, weight[0][a], len(nodes))
-        root = _roots(len(nodes), pa_, pb)
+        root = roots(len(nodes), pa_, pb)
         some = np.flatnonzero(n)
         return pa.Table.from_arrays([pa.array(nodes[some]), pa.array(n[some].astype(np.int64)), pa.array(nodes[root[some]])], schema=_FOUND)
 
