@@ -103,6 +103,13 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    from orderweave.llm.passages import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
 @query
 def op2_quality_classifier(spark, sf_dir):
     from orderweave.llm.perplexity import trusted_perplexity
