@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from orderweave.llm.words import pieces
 
 #: Words whose ids a Python worker keeps between slices; it starts anew when they are reached.
-KEPT_WORDS = 1_000_000
-SLICE_BYTES = 16 << 20
+KEPT_WORDS = 200_000
+SLICE_BYTES = 4 << 20
 
 #: Characters on which Python and the tokenizer's own rules agree without further normalisation.
 _ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-įı-ɏ]")

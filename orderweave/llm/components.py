@@ -39,8 +39,9 @@ def _settle(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b), the component being its smallest node.
 
-    A small table of links is settled in one task. Otherwise alternates the large-star and small-star steps of the MapReduce algorithm (Kiveris et al. 2014): every
-    node points its larger, then its smaller neighbours at the smallest one known. Links only move along tables;
+    A small table of links is settled in one task. A larger one goes through the large-star and small-star steps of the
+    MapReduce algorithm (Kiveris et al. 2014) by turns: every node points its larger, then its smaller neighbours at the
+    smallest one known. Links only move along tables;
     each round is written to the shared folder, and the number of rounds is logarithmic in practice.
     Links with a null end or to itself say nothing and are left out."""
     edges = pin(

@@ -12,9 +12,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Bound the batches that workers get, and send the package to the executors, once per application: operators run its functions in Python workers,
-    which need not have it installed."""
+    """Bound the batches that workers get, in rows and bytes, and send the package to the executors, once per application:
+    operators run its functions in Python workers, which need not have it installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
