@@ -69,8 +69,8 @@ def same_instant_pairs(rows: DataFrame) -> DataFrame:
             or (size - prev.size <= 1e-9D and ((is_add and prev.is_sub) or (is_sub and prev.is_add)))
           group by {key}
         )
-        select {key}, n_rows, zero_delete and has_add as noop, coalesce(reprice, false) as reprice
-        from {{groups}} left join repriced using ({key})
+        select g.file_id, g.order_id, g.ts, n_rows, zero_delete and has_add as noop, coalesce(reprice, false) as reprice
+        from {{groups}} g left join repriced p on g.file_id <=> p.file_id and g.order_id <=> p.order_id and g.ts <=> p.ts
         """,
         sizes=sizes,
         groups=groups,
@@ -293,7 +293,8 @@ def _fold_long(ops: DataFrame, order: list[str], style: str) -> tuple[DataFrame,
             started = histories.selectExpr("*", f"{_DEAD} as state")
         else:
             before = spark.read.parquet(f"{done}/slice={k - 1}").select(*key, "state")
-            started = histories.join(before, key, "left")
+            same = " and ".join(f"h.{c} <=> b.{c}" for c in key)
+            started = sql(f"select h.*, b.state from {{histories}} h left join {{before}} b on {same}", histories=histories, before=before)
         folded = started.selectExpr(*key, f"{_fold(style, 'state')} as f").selectExpr(*key, _FOLDED_STATE, "f.out as out")
         folded.write.parquet(f"{done}/slice={k}")
 

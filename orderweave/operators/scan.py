@@ -22,7 +22,7 @@ HOT_ROWS = 10_000
 
 
 class Chunks:
-    """``df`` pinned in key/order ranges. Keys must not be null; ``order`` must be unique per key."""
+    """``df`` pinned in key/order ranges. A null key is a key; ``order`` must be unique per key."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], tag: str = "chunks"):
         configure(df.sparkSession)
@@ -42,6 +42,10 @@ class Chunks:
                 so_far as (partition by {keys}, {CHUNK} order by {order}
                            rows between unbounded preceding and current row)"""
 
+    def _same(self, a: str, b: str) -> str:
+        """Rows of ``a`` and ``b`` have one key, which may be null, and one chunk."""
+        return " and ".join([*[f"{a}.{k} <=> {b}.{k}" for k in self.keys], f"{a}.{CHUNK} = {b}.{CHUNK}"])
+
     def scan(
         self,
         df: DataFrame | None = None,
@@ -83,13 +87,13 @@ class Chunks:
             result.append(f"if(_first, _c_{n}, _l_{n}) as {n}")
         if lags:
             local.append("row_number() over in_order = 1 as _first")
-        kept = ", ".join(f"`{c}`" for c in df.columns)
+        kept = ", ".join(f"s.`{c}`" for c in df.columns)
         if self.single:
             plain = [f"sum({inputs[n]}) over (partition by {keys}) as {n}" for n in wholes]
             plain += [f"coalesce(sum({inputs[n]}) over so_far, 0) as {n}" for n in sums]
             plain += [f"last({inputs[n]}, true) over so_far as {n}" for n in lasts]
             plain += [f"lag({inputs[n]}) over in_order as {n}" for n in lags]
-            return sql(f"select {kept}, {', '.join(plain)} from {{rows}} window {self._windows()}", rows=rows)
+            return sql(f"select {kept}, {', '.join(plain)} from {{rows}} s window {self._windows()}", rows=rows)
         return sql(
             f"""
             with tails as (
@@ -103,7 +107,7 @@ class Chunks:
               window {self._windows()}
             )
             select {kept}, {", ".join(result)}
-            from scanned left join carry using ({keys}, {CHUNK})
+            from scanned s left join carry c on {self._same("s", "c")}
             """,
             rows=rows,
         )
@@ -113,7 +117,7 @@ class Chunks:
         """Mark the first row of every maximal run of ``flag`` rows (``opens``) and number the runs so far
         (``number``)."""
         keys = ", ".join(self.keys)
-        kept = ", ".join(f"`{c}`" for c in self.frame.columns)
+        kept = ", ".join(f"s.`{c}`" for c in self.frame.columns)
         return sql(
             f"""
             with flagged as (
@@ -138,7 +142,7 @@ class Chunks:
             )
             select {kept}, if(_row = 1, _opens, _inner) as {opens},
               cast(_before + _local + if(_opens, 1, 0) as int) as {number}
-            from counted join carry using ({keys}, {CHUNK})
+            from counted s join carry c on {self._same("s", "c")}
             """,
             rows=self.frame,
         )
@@ -157,7 +161,7 @@ def attach(
     """Left join per-group ``values`` back onto the rows of ``df``.
 
     ``groups`` has one row per key and its row count in ``rows``; ``useful`` tells which groups carry
-    information. Those and the large groups are written down first, so Spark knows their size when it
+    information; the rows of all other groups get null. A null key is a key. Useful and large groups are written down first, so Spark knows their size when it
     picks the join. The largest groups (never more than HOT_GROUPS) are broadcast and their rows spread
     by ``spread_by`` over the shuffle that serves all others, so no task receives a whole hot group.
     ``pinned`` tells that ``groups`` is already such a table."""
@@ -166,7 +170,7 @@ def attach(
         groups = pin(groups.where(f"({useful}) or {rows} > {HOT_ROWS}").select(*columns), "groups")
     key_list = ", ".join(keys)
     kept = ", ".join(f"r.`{c}`" for c in df.columns)
-    on_cool = " and ".join(f"r.{k} = c.{k}" for k in keys)
+    on_cool = " and ".join(f"r.{k} <=> c.{k}" for k in keys)
     if groups.where(f"{rows} > {HOT_ROWS}").isEmpty():
         found = ", ".join(f"c.{v}" for v in values)
         return sql(f"select {kept}, {found} from {{df}} r left join {{groups}} c on {on_cool}", df=df, groups=groups)

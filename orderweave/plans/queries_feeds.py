@@ -47,7 +47,8 @@ _RAW_S = f"""raw_s AS (SELECT *, hour(ts) >= 20 AND event_id % 7 = 0 AS late,
     CASE WHEN event_id % 997 < 3 THEN 'SNAPSHOT' WHEN event_id % 211 = 0 THEN 'PING' WHEN event_type = 'signup' THEN 'ADD'
       WHEN event_type = 'view' THEN 'SUB' WHEN event_type = 'purchase' THEN 'MATCH'
       WHEN event_type = 'click' THEN 'SET' ELSE 'DELETE' END AS raw_type FROM events)"""
-_NS_S = "CASE WHEN event_id % 4001 <> 4000 AND file_id <> 'nosymbol.csv' THEN epoch_us(ts) * 1000 + 700 END"
+_BAD_CLOCK = "(user_id % 3 = 2 AND dayofmonth(ts) = 6 AND hour(ts) < 20 AND event_id % 41 = 40)"
+_NS_S = f"CASE WHEN NOT {_BAD_CLOCK} AND file_id <> 'nosymbol.csv' THEN epoch_us(ts) * 1000 + 700 END"
 # the seventh digit of the clock is a 7: 700 ns
 _STAGE_S = f"""{_RAW_S}, rows_s AS (SELECT file_id, event_id AS line_no, {_NS_S} AS ts,
     CASE WHEN file_id <> 'nosymbol.csv' THEN concat('SYM', CAST(user_id % 3 AS VARCHAR)) END AS symbol,
@@ -74,7 +75,7 @@ _STAGE_Q = f"""rows_q AS (SELECT concat('20240101_SYM', CAST(user_id % 3 AS VARC
 @query(
     "scan_csv",
     f"""WITH {_RAW_S} SELECT file_id,
-      CASE WHEN event_id % 4001 = 4000 THEN 'noon' ELSE strftime(ts, '%H:%M:%S.%f') || '7' END AS time_exchange,
+      CASE WHEN {_BAD_CLOCK} THEN 'noon' ELSE strftime(ts, '%H:%M:%S.%f') || '7' END AS time_exchange,
       CASE WHEN late THEN '00:00:01.000000' ELSE strftime(ts, '%H:%M:%S.%f') END AS time_coinapi,
       CAST(user_id AS VARCHAR) AS order_id,
       CASE WHEN event_id % 113 = 0 THEN '9' ELSE CAST((user_id + 1) % 2 AS VARCHAR) END AS is_buy,
@@ -141,8 +142,7 @@ _columns("aux_passthrough", "s", "order_id, ts, new_size, new_price", "new_size
 @query(
     "date_injection",
     f"""WITH {_RAW_S} SELECT file_id, order_id, CASE WHEN file_id <> 'nosymbol.csv' THEN
-        strftime(CASE WHEN event_id % 4001 <> 4000 THEN CAST(ts AS DATE)
-          ELSE CAST(strptime(file_id[1:8], '%Y%m%d') AS DATE) END, '%Y-%m-%d') || ' ' || CASE WHEN event_id % 4001 = 4000
+        strftime(CAST(ts AS DATE), '%Y-%m-%d') || ' ' || CASE WHEN {_BAD_CLOCK}
           THEN 'noon' ELSE strftime(ts, '%H:%M:%S.%f') || '7' END END AS stamped
       FROM (SELECT *, CAST(user_id AS VARCHAR) AS order_id FROM raw_s) r""",
 )
@@ -154,7 +154,7 @@ def date_injection(spark, sf):
 @query(
     "midnight_correction",
     f"""WITH {_RAW_S} SELECT file_id, CAST(count(*) AS BIGINT) AS n_corrected FROM raw_s
-      WHERE late AND event_id % 4001 <> 4000 AND file_id <> 'nosymbol.csv' GROUP BY file_id""",
+      WHERE late AND file_id <> 'nosymbol.csv' GROUP BY file_id""",
 )
 def midnight_correction(spark, sf):
     raw = feeds.with_file_meta(feeds.scan_csv(spark, files_s(spark, sf), feeds.STYLE_S), feeds.STYLE_S)

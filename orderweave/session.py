@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+_SCRATCH: dict[str, str] = {}  # one folder for each application in local mode
+
 CHUNKS_CONF = "spark.orderweave.chunks"
 
 
@@ -40,9 +42,10 @@ def work_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    scratch = tempfile.mkdtemp(prefix="orderweave-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    application = spark.sparkContext.applicationId
+    if application not in _SCRATCH:
+        _SCRATCH[application] = tempfile.mkdtemp(prefix="orderweave-")
+    return _SCRATCH[application]
 
 
 def _own_dir(spark: SparkSession) -> str:

@@ -75,6 +75,9 @@ STYLE_Q = FeedStyle(
     ts_format="unix_ns",
     price_scale="1e-9D",
 )
+#: Text of an order id that a file leaves out (fixed value): a missing id is an order of its own, never null.
+NO_ID = "nan"
+
 STYLES = {style.name: style for style in (STYLE_S, STYLE_Q)}
 
 
@@ -171,7 +174,7 @@ def stage_a(raw: DataFrame, style: FeedStyle, symbol: str | None = None) -> Data
     return raw.selectExpr(
         f"{ts} as ts",
         f"{symbol_expr} as symbol",
-        f"cast({style.order_id} as string) as order_id" if style.order_id in have else "'' as order_id",
+        f"coalesce(cast({style.order_id} as string), '{NO_ID}') as order_id" if style.order_id in have else "'' as order_id",
         f"{side} as side",
         f"{price} as price",
         f"coalesce({', '.join(sizes)}) as size" if sizes else "cast(null as double) as size",

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderweave.operators import replay, scan
 from orderweave.session import CHUNKS_CONF
@@ -207,3 +208,31 @@ def test_drop_filled_spares_the_reset(spark):
     df = spark.createDataFrame(rows, S_SCHEMA)
     assert replay.stage_b_s(df).where("reason = 'SNAPSHOT_RESET'").count() == 1
     assert replay.stage_b_s(df, drop_filled=True).where("reason = 'SNAPSHOT_RESET'").count() == 0
+
+
+@pytest.mark.parametrize("fold_rows,hot_rows", [(5000, 10_000), (7, 3)])
+def test_an_order_without_id_is_an_order(spark, monkeypatch, fold_rows, hot_rows):
+    """Null keys give the same events as any other id, in one piece or in slices."""
+    monkeypatch.setattr(replay, "FOLD_ROWS", fold_rows)
+    monkeypatch.setattr(scan, "HOT_ROWS", hot_rows)
+    spark.conf.set(CHUNKS_CONF, "4")
+    try:
+        df = spark.createDataFrame(random_rows("S", 400, 9), S_SCHEMA).withColumn("order_id", F.lit("x"))
+        named = replay.stage_b_s(df)
+        none = replay.stage_b_s(df.withColumn("order_id", F.lit(None).cast("string")))
+        columns = [c for c in named.columns if c != "order_id"]
+        assert sorted(map(repr, none.select(*columns).collect())) == sorted(map(repr, named.select(*columns).collect()))
+    finally:
+        spark.conf.unset(CHUNKS_CONF)
+
+
+def test_running_numbers_of_a_null_key(spark):
+    spark.conf.set(CHUNKS_CONF, "8")
+    try:
+        df = spark.range(5000).selectExpr("cast(null as string) as k", "id")
+        rows = scan.Chunks(df, ["k"], ["id"]).scan(sums={"n": "1L"}, totals={"total": "1L"}, lags={"was": "id"})
+        assert rows.where("n <> id + 1 or total <> 5000 or not (was <=> if(id = 0, null, id - 1))").count() == 0
+        marked = scan.Chunks(df, ["k"], ["id"]).runs("id % 10 < 3", "opens", "number")
+        assert marked.count() == 5000 and marked.where("number is null").count() == 0
+    finally:
+        spark.conf.unset(CHUNKS_CONF)
