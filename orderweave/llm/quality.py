@@ -169,13 +169,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> bytes | None:
     return bytes(found[0]["weights"]) if found else None
 
 
-def quality(docs: DataFrame, labels: DataFrame, with_text: bool = False) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, rows: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words;
     base_failed; probability (calibrated, null without a model); kept.
 
     Words are runs of non-blank bytes. A row fails with fewer than 10 words, or if over 20 % of its words lie in a
     5-word window found again in its text. Others are kept if the model says so (or there is none). Null texts are empty
-    and fail. ``with_text`` keeps all columns of ``docs`` and adds only ``kept``."""
+    and fail. ``rows`` gives instead the rows of ``docs`` that are kept, with all their columns."""
     configure(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
 
@@ -194,15 +194,14 @@ def quality(docs: DataFrame, labels: DataFrame, with_text: bool = False) -> Data
             for part in pieces(batch, "text"):
                 counts, failed, p = scored(part)
                 kept = pa.array(~failed & (p >= THRESHOLD) if p is not None else ~failed)
-                if with_text:
-                    yield pa.RecordBatch.from_arrays([*part.columns, kept], [*part.schema.names, "_kept"])
+                if rows:
+                    yield part.filter(kept)
                     continue
                 arrays = [part.column("doc_id"), *[pa.array(counts[c], pa.int64()) for c in _COUNTS], pa.array(failed)]
                 arrays += [pa.array(p if p is not None else [None] * len(part), pa.float64()), kept]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, "base_failed", "probability", "kept"])
 
-    if with_text:
-        schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _kept boolean"
-        return docs.mapInArrow(run, schema)
+    if rows:
+        return docs.mapInArrow(run, docs.schema)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, probability double, kept boolean"
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
