@@ -19,7 +19,8 @@ def order_key(events: DataFrame) -> list[str]:
 
 
 def lifetimes(events: DataFrame) -> DataFrame:
-    """Lifetime table; orders without an ADD are left out. One aggregation, combined before the shuffle.
+    """Lifetime table; orders without an ADD are left out. The distinct count of event_seq costs a second
+    exchange: rows are first grouped by (order, event_seq).
 
     Events with equal event_seq and time are ordered by their values."""
     key = order_key(events)

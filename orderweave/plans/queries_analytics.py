@@ -522,7 +522,12 @@ def copula_density_lineitem(spark, sf):
     return dep.copula_density(dep.pseudo_obs(ranks, BY), BY)
 
 
-@query("sample_n")
+@query(
+    "sample_n",
+    """SELECT l_returnflag AS symbol, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount FROM lineitem
+      ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 5000""",
+    "l_extendedprice l_quantity l_discount",
+)
 def sample_n(spark, sf):
     return dep.sample_rows(lineitem(spark, sf), 5000, _LINE)
 
