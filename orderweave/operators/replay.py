@@ -20,6 +20,8 @@ EVENT_COLUMNS = [
 
 # Longest history folded inside one row; longer ones are cut at fresh ADDs and, if need be, chained.
 FOLD_ROWS = 5_000
+# Rows of a history folded at a time; near the square root of FOLD_ROWS, so that neither level copies much.
+RUN_ROWS = 64
 
 _ORDER_KEY = ["file_id", "session_id", "order_id"]
 
@@ -240,11 +242,20 @@ def _step_q() -> str:
 
 
 def _fold(style: str, state: str = _DEAD) -> str:
-    """Fold of the column ``history`` from ``state``: last state fields and the emitted events."""
-    start = f"""named_struct('live', {state}.live, 'remaining', {state}.remaining, 'price', {state}.price,
-      'side', {state}.side, 'seq', {state}.seq, 'out', {_NO_EVENT})"""
+    """Fold of the column ``history`` from ``state``: last state fields and the emitted events.
+
+    Every step copies the events emitted so far, so the history is folded RUN_ROWS rows at a time: a run copies
+    its own events only, and the list of runs, which grows by one per run, is flattened once at the end."""
+
+    def fields(of: str, out: str) -> str:
+        return f"""named_struct('live', {of}.live, 'remaining', {of}.remaining, 'price', {of}.price,
+          'side', {of}.side, 'seq', {of}.seq, 'out', {out})"""
+
     step = _step_s() if style == "S" else _step_q()
-    return f"aggregate(history, {start}, (a, r) -> {step})"
+    run = f"""aggregate(slice(history, k * {RUN_ROWS} + 1, {RUN_ROWS}), {fields("runs", _NO_EVENT)}, (a, r) -> {step},
+      a -> {fields("a", "concat(runs.out, array(a.out))")})"""
+    return f"""aggregate(sequence(0, (size(history) - 1) div {RUN_ROWS}), {fields(state, f"slice(array({_NO_EVENT}), 1, 0)")},
+      (runs, k) -> {run}, runs -> {fields("runs", "flatten(runs.out)")})"""
 
 
 def _packed(order: list[str]) -> str:
