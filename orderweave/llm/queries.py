@@ -7,10 +7,12 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderweave.llm import merkle
 from orderweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": merkle.ORACLE}
 
 
 def query(fn):
@@ -115,3 +117,8 @@ def op2_quality_classifier(spark, sf_dir):
     from orderweave.llm.perplexity import trusted_perplexity
 
     return trusted_perplexity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.verified(documents(spark, sf_dir))
