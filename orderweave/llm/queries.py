@@ -122,3 +122,18 @@ def op2_quality_classifier(spark, sf_dir):
 @query
 def op11_merkle_manifest(spark, sf_dir):
     return merkle.verified(documents(spark, sf_dir))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    from orderweave.llm.whitening import whitened
+
+    # a deviation that a long cannot hold is null
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).selectExpr("* except (deviation)", "try_cast(deviation as long) as deviation")
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    from orderweave.llm.language import languages
+
+    return languages(documents(spark, sf_dir))
