@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 
 from orderweave.llm.words import pieces
 
-#: Words whose ids a Python worker keeps between slices; it starts anew when they are reached.
-KEPT_WORDS = 200_000
+#: Memory that a Python worker spends on words whose ids it keeps between slices: those of the last slices, in two
+#: generations, of which the older one goes when the younger one is full.
+KEPT_BYTES = 48 << 20
+#: What a kept word takes besides its characters and ids.
+_WORD_BYTES = 240
 SLICE_BYTES = 4 << 20
 
 #: Characters on which Python and the tokenizer's own rules agree without further normalisation.
@@ -47,7 +50,7 @@ def _byte_characters() -> list[str]:
 class Encoder:
     """Encodes as the library does with this vocabulary, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -66,7 +69,9 @@ class Encoder:
         self.tokens = {i: t.encode() for t, i in {**vocabulary, **_SPECIALS}.items()}
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.kept_bytes, self.size = kept_bytes, 0
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,9 +166,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed unsigned 32-bit numbers; null is empty."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.parts.clear()
+        if 2 * self.size > self.kept_bytes:
+            self.words, self.older, self.parts, self.size = {}, self.words, {}, 0
         done, split = {}, {}
         for i, text in enumerate(texts):
             if text:
@@ -173,7 +177,12 @@ class Encoder:
                     split[i] = text.lower().split()
         new = set().union(*split.values()).difference(self.words) if split else ()
         if new:
-            self._fill([(w, [w] if w.isalpha() else _SPLIT.findall(w)) for w in new])
+            known = new.intersection(self.older)
+            self.words.update((w, self.older[w]) for w in known)
+            missing = new - known
+            if missing:
+                self._fill([(w, [w] if w.isalpha() else _SPLIT.findall(w)) for w in missing])
+            self.size += sum(_WORD_BYTES + len(w) + len(self.words[w]) for w in new)
         word = self.words.__getitem__
         for i, found in split.items():
             done[i] = b"".join(map(word, found))
@@ -187,10 +196,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
     """This worker's encoder for the vocabulary at ``path``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].kept_bytes = kept_bytes
     return _ENCODERS[path]
 
 

@@ -16,6 +16,7 @@ def linked_groups(
     likely: Callable[[str, str], str],
     texts: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame],
+    light: bool = False,
 ) -> DataFrame:
     """(node, component) of the nodes that have a link; ``nodes`` has a unique ``node``, ``keys`` and the ``payload``.
 
@@ -25,34 +26,40 @@ def linked_groups(
 
     In each bucket three leaders are compared with every member. Then, by components, members that are still apart
     are compared among themselves. So a group whose members hang together costs a few passes over its members,
-    and no pair of a bucket is left out unless both ends are known to be connected."""
-    members = nodes.selectExpr("node", "posexplode(keys) as (band, key)")
-    buckets = pin(
-        sql(
-            """select key, count(*) as n, min(node) as lo, max(node) as hi, min_by(node, xxhash64(node)) as mid
-               from {m} group by key having count(*) > 1""",
-            m=members,
-        ),
-        "buckets",
-    )
-    large = sql("select key, lo, hi, mid from {b} where n > 2", b=buckets)
-    crowd = pin(sql("select m.*, l.lo, l.hi, l.mid from {m} m join {l} l on m.key = l.key", m=members, l=large), "crowd")
+    and no pair of a bucket is left out unless both ends are known to be connected.
+
+    With ``light`` the payload goes along with keys and leaders, so that pairs are sifted where they arise; otherwise it is
+    joined to the distinct pairs."""
+    own = payload if light else []
+    members = nodes.selectExpr("node", *own, "posexplode(keys) as (band, key)")
+    leaders = {"lo": ("min(node)", "min_by({}, node)"), "hi": ("max(node)", "max_by({}, node)")}
+    leaders["mid"] = ("min_by(node, xxhash64(node))", "min_by({}, xxhash64(node))")
+    chosen = [f"{node} as {x}" for x, (node, _) in leaders.items()]
+    chosen += [f"{value.format(c)} as {x}_{c}" for x, (_, value) in leaders.items() for c in own]
+    buckets = pin(sql(f"select key, count(*) as n, {', '.join(chosen)} from {{m}} group by key having count(*) > 1", m=members), "buckets")
+    large = buckets.where("n > 2")
+    led = [f"l.{x}" for x in leaders] + [f"l.{x}_{c}" for x in leaders for c in own]
+    crowd = pin(sql(f"select m.*, {', '.join(led)} from {{m}} m join {{l}} l on m.key = l.key", m=members, l=large), "crowd")
+
+    def leader(x: str) -> str:
+        return f"named_struct('node', {x}{''.join(f', {c!r}, {x}_{c}' for c in own)})"
+
     pairs = sql(
-        """select distinct least(a, b) as a, greatest(a, b) as b from (
-             select lo as a, hi as b from {b} where n = 2
-             union all select explode(array(lo, hi, mid)), node from {c}) where a <> b""",
+        f"""select distinct least(x.node, y.node) as a, greatest(x.node, y.node) as b from (
+             select {leader("lo")} as x, {leader("hi")} as y from {{b}} where n = 2
+             union all select explode(array({", ".join(map(leader, leaders))})), struct({", ".join(["node", *own])}) from {{c}})
+           where x.node <> y.node{f" and {likely('x', 'y')}" if light else ""}""",
         b=buckets,
         c=crowd,
     )
-    pairs = pin(
-        sql(
+    if not light:
+        pairs = sql(
             f"""select p.a, p.b from {{pairs}} p join {{nodes}} x on p.a = x.node join {{nodes}} y on p.b = y.node
                 where {likely("x", "y")}""",
             pairs=pairs,
             nodes=nodes,
-        ),
-        "pairs",
-    )
+        )
+    pairs = pin(pairs, "pairs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         found = pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=pairs)), "texts")
@@ -67,7 +74,7 @@ def linked_groups(
     links = confirmed(pairs)
     parts = pin(components(links), "parts")
 
-    placed = sql("select c.*, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
+    placed = sql("select c.key, c.node, c.band, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
     placed = pin(placed, "placed")
     split = pin(sql("select key from {p} group by key having min(part) <> max(part)", p=placed), "split")
     columns = ", ".join(f"r.{c}" for c in payload)

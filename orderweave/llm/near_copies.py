@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orderweave.llm.linking import linked_groups
 from orderweave.llm.words import Words, mix, pieces, signed
@@ -26,7 +27,7 @@ _SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH // 64)]
 FULL = 2048
 _FULL_COLUMNS = [f"p{i}" for i in range(FULL // 64)]
 _BITMAPS = [*_SKETCH_COLUMNS, *_FULL_COLUMNS]
-_SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, "
+_SCHEMA = "doc_id long, mark binary, n_shingles long, f1 long, f2 long, bands array<long>, "
 _SCHEMA += ", ".join(f"{c} long" for c in [*_SKETCH_COLUMNS, *_FULL_COLUMNS])
 
 
@@ -59,9 +60,9 @@ def _sketches(batches):
             flat_bands = pa.array(signed(bands.reshape(-1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat_bands)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), lists]
+                [part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), lists]
                 + [pa.array(words[:, i].copy()) for i in range(words.shape[1])],
-                ["doc_id", "n_shingles", "f1", "f2", "bands", *_SKETCH_COLUMNS, *_FULL_COLUMNS],
+                ["doc_id", "mark", "n_shingles", "f1", "f2", "bands", *_SKETCH_COLUMNS, *_FULL_COLUMNS],
             )
 
 
@@ -100,7 +101,11 @@ def _likely(x: str, y: str, percent: int) -> str:
     return f"{sizes} and ({z}) <= {most:.4f} and {100 + percent} * ({whole}) <= {100 - percent} * {both}"
 
 
-def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
+#: SQL of the fingerprint that tells apart the texts of one doc_id.
+MARK = "unhex(md5(text))"
+
+
+def near_copies(docs: DataFrame, percent: int = 75, marked: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are not read).
 
     Rows are linked if 100 * shared >= ``percent`` * all of their distinct 5-word shingles (A-Z lower-cased; fewer
@@ -108,10 +113,14 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     with nothing and kept. Rows that repeat a doc_id are each dealt with by their own text.
 
     Equal sets are folded first, known by a 64-bit fingerprint. The rest share the keys of MinHash bands; candidates whose
-    odd sketches are too different go, and the others are confirmed on full shingle sets (see ``linked_groups``)."""
+    odd sketches are too different go, and the others are confirmed on full shingle sets (see ``linked_groups``).
+
+    With ``marked`` there are two columns more: ``mark``, the fingerprint of the row's text, and ``class``, which the rows of
+    one group share and no other has (component_id may be that of two groups if a doc_id repeats), null without links."""
     configure(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rows = pin(docs.mapInArrow(_sketches, _SCHEMA).selectExpr("*", "monotonically_increasing_id() as row"), "sketches")
+    rows = docs.selectExpr("*", f"{MARK if marked else 'cast(null as binary)'} as mark")
+    rows = pin(rows.mapInArrow(_sketches, _SCHEMA).selectExpr("*", "monotonically_increasing_id() as row"), "sketches")
     sets = pin(
         sql(
             """select f1, f2, min(doc_id) as rep, min_by(row, doc_id) as row from {r}
@@ -143,14 +152,39 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     least = sql("select p.component as part, min(s.rep) as component from {s} s join {p} p on s.f1 = p.node group by p.component", s=sets, p=parts)
     least = pin(least, "least")
-    classes = pin(sql("select p.node, l.component from {p} p join {l} l on p.component = l.part", p=parts, l=least), "classes")
+    classes = pin(sql("select p.node, p.component as class, l.component from {p} p join {l} l on p.component = l.part", p=parts, l=least), "classes")
+    extra = ", r.mark, coalesce(c.class, s.f1) as class" if marked else ""
     return sql(
-        """select r.doc_id, r.n_shingles, coalesce(c.component, s.rep, r.doc_id) as component_id,
-             r.doc_id is null or r.doc_id = coalesce(c.component, s.rep, r.doc_id) as kept
-           from {rows} r
-           left join {sets} s on r.f1 = s.f1 and r.f2 = s.f2 and r.n_shingles > 0 and r.doc_id is not null
-           left join {classes} c on s.f1 = c.node""",
+        f"""select r.doc_id, r.n_shingles, coalesce(c.component, s.rep, r.doc_id) as component_id,
+             r.doc_id is null or r.doc_id = coalesce(c.component, s.rep, r.doc_id) as kept{extra}
+           from {{rows}} r
+           left join {{sets}} s on r.f1 = s.f1 and r.f2 = s.f2 and r.n_shingles > 0 and r.doc_id is not null
+           left join {{classes}} c on s.f1 = c.node""",
         rows=rows,
         sets=sets,
         classes=classes,
     )
+
+
+def without_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, and others), one of each group of near-copies: the first by (doc_id, fingerprint of
+    the text). Of rows equal in both one stays. Rows with a null doc_id, and texts without a word, stay."""
+    found = pin(near_copies(docs, percent, marked=True).where("class is not null").select("doc_id", "mark", "class"), "found")
+    firsts = sql("select class, min(struct(doc_id, mark)) as first from {f} group by class", f=found)
+    texts = sql("select class, doc_id, mark, count(*) as n from {f} group by class, doc_id, mark", f=found)
+    # a document goes, or stays once; the others, most of all, are not listed
+    verdicts = pin(
+        sql(
+            """select t.doc_id, t.mark, t.doc_id <> f.first.doc_id or t.mark <> f.first.mark as gone
+               from {t} t join {f} f on t.class = f.class
+               where t.doc_id <> f.first.doc_id or t.mark <> f.first.mark or t.n > 1""",
+            t=texts,
+            f=firsts,
+        ),
+        "verdicts",
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.expr("cast(doc_id as long) as doc_id"), F.expr(f"{MARK} as mark"))
+    judged = sql("select d.*, v.gone from {d} d left join {v} v on d.doc_id = v.doc_id and d.mark = v.mark where not coalesce(v.gone, false)", d=rows, v=verdicts)
+    single = judged.where("gone is null").select("row")
+    once = judged.where("gone is not null").groupBy("doc_id", "mark").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(once).select("row.*")

@@ -19,6 +19,8 @@ OPEN = 64
 #: Partitions whose last, part-filled windows are merged in one step.
 MERGED = 64
 END = 2
+#: Memory of a worker for words it has encoded: a million of them, as nothing else here needs much.
+KEPT_BYTES = 320 << 20
 
 _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 _LEFT = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
@@ -126,7 +128,7 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     def first(batches):
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32)
-        coder = encoder(path)
+        coder = encoder(path, KEPT_BYTES)
         end = END.to_bytes(4, "little")
         for batch in batches:
             for slice_ in pieces(batch, "text", SLICE_BYTES):

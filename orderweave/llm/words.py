@@ -88,7 +88,7 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self._hash = None
+        self._hash = self._sums = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -103,13 +103,17 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.count)
 
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``start`` to ``end``, the same wherever the bytes stand."""
+        if self._sums is None:
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * _powers(_BASE, len(self.data)), out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * _powers(_INVERSE, len(self.data) + 1)[start])
+
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _powers(_BASE, len(self.data)), out=sums[1:])
-            there = _powers(_INVERSE, len(self.data) + 1)[self.start]
-            self._hash = mix((sums[self.end] - sums[self.start]) * there)
+            self._hash = self.hash_of(self.start, self.end)
         return self._hash
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:

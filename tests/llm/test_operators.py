@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -52,6 +53,7 @@ def test_lines_alike_and_similar_stay_once(spark, hard, empty):
     left = {r.doc_id: r for r in repeated_lines(hard).collect()}
     assert left[14].dropped == [1] and left[2].dropped == [0] and left[9].dropped == [0] and 5 not in left and None not in left
     assert repeated_lines(empty).count() == 0
+    assert got[3] == [0]  # similar, not equal
     for a, b in itertools.product(["", "kitten", "sitting", "abcabc", "axbxc", "saturday", "sunday"], repeat=2):
         table = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
         for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
@@ -59,6 +61,40 @@ def test_lines_alike_and_similar_stay_once(spark, hard, empty):
         assert edit_distance(a, b, 20) == table[len(a), len(b)]
 
 
+def one_edit(rng, line):
+    at = rng.randrange(len(line))
+    while line[at] == " ":
+        at = rng.randrange(len(line))
+    return line[:at] + {0: "", 1: "é", 2: line[at] + "q"}[rng.randrange(3)] + line[at + 1 :]
+
+
+@pytest.mark.parametrize("words,least", [(10, 0.8), (20, 0.9), (40, 0.9)])
+def test_recall_of_lines_that_differ_in_one_word(spark, words, least):
+    from orderweave.llm.fuzzy_lines import repeated_lines, similar
+
+    rng = random.Random(words)
+    lines = [" ".join(f"{rng.choice('aeiouy')}{rng.randrange(10**rng.randrange(1, 7))}{rng.choice('xyz')}" for _ in range(words)) for _ in range(400)]
+    pairs = [(x, one_edit(rng, x)) for x in lines]
+    rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)]
+    dropped = {r.doc_id for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.dropped}
+    # the plain version compares each line with its own copy; strangers of this kind are never similar
+    want = {1000 + i for i, (a, b) in enumerate(pairs) if similar(a, b)}
+    assert dropped <= want and len(dropped) >= least * len(want)
+
+
+def test_majorities_of_groups_of_any_size():
+    from orderweave.llm.fuzzy_lines import _majorities
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 254, 255, 256, 509, 510, 511, 3000]
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    values = rng.integers(0, 2**64, int(cuts[-1]), dtype=np.uint64) | np.uint64(3)
+    got = _majorities(values, cuts)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        want = sum(1 << k for k in range(64) if 2 * sum(int(v) >> k & 1 for v in values[a:b]) > b - a)
+        assert int(got[i]) == want
+
+
 def test_equal_lines_of_all_documents_stay_once(spark, documents):
     got = {r.doc_id: {int(x) for x in r.dropped.split(",") if x} for r in run(spark, "op1_line_dedup")}
     seen = set()
