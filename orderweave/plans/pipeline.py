@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from orderweave.operators.quality import validation_report
 from orderweave.operators.replay import EVENT_COLUMNS, stage_b_q, stage_b_s
 from orderweave.operators.scan import attach
-from orderweave.session import configure, pin, release, sql
-from orderweave.sources.feeds import STYLE_S, file_status, normalise, scan_csv, style_of
-from orderweave.sources.store import PARTITION, write_events
+from orderweave.session import configure, keep, pin, release, run_folder, sql
+from orderweave.sources.feeds import Feed, FeedStyle, file_status, style_of
+from orderweave.sources.store import PARTITION, touched_partitions, write_events
+
+REPLAY = {"S": stage_b_s, "Q": stage_b_q}
 
 
 @dataclass
@@ -27,32 +29,34 @@ class PipelineResult:
 def run_files(
     spark: SparkSession,
     paths: str | list[str],
-    source: str,
+    source: str | FeedStyle,
     root: str,
     symbol: str | None = None,
-    glob: str = "*.csv",
+    glob: str | None = "*.csv",
     mode: str = "merge",
 ) -> PipelineResult:
     """Process one file, many files or a directory in one go.
 
-    A file whose name or times cannot be read is reported and left out; the others go on.
-    Findings of the validation do not stop the write."""
-    raw = scan_csv(configure(spark), paths, style_of(source), glob)
-    return run_rows(raw, source, root, symbol, mode)
-
-
-def run_rows(raw: DataFrame, source: str, root: str, symbol: str | None = None, mode: str = "merge") -> PipelineResult:
-    """As ``run_files``, from raw rows that carry ``file_id`` and ``line_no``."""
+    A file whose header, name or times cannot be read is reported with the reason and left out; the others go on.
+    Findings of the validation do not stop the write. Intermediate tables are deleted at the end."""
     style = style_of(source)
-    rows = pin(normalise(raw, style, symbol), "stage-a")
-    files = pin(file_status(rows), "files")
-    good = rows.join(files.where("succeeded"), "file_id", "left_semi")
-    replay = stage_b_s if style is STYLE_S else stage_b_q
-    events = pin(replay(good, style.source), "events")
-    if events.isEmpty():
-        return PipelineResult(files, None, None)
-    report = pin(validation_report(events), "report")
-    return PipelineResult(files, report, write_events(last_file_wins(events), root, mode))
+    with run_folder(configure(spark), "pipeline"):
+        feed = Feed(spark, paths, style, glob)
+        if not feed.layouts:
+            return PipelineResult(keep(_unread(feed.files), "files"), None, None)
+        rows = pin(feed.rows(symbol), "stage-a")
+        files = keep(file_status(rows, feed.files), "files")
+        good = rows.join(files.where("succeeded"), "file_id", "left_semi")
+        events = pin(REPLAY[style.replay](good, style.source), "events")
+        touched = touched_partitions(events)
+        if not touched:
+            return PipelineResult(files, None, None)
+        report = keep(validation_report(events), "report")
+        return PipelineResult(files, report, write_events(last_file_wins(events), root, mode, touched=touched))
+
+
+def _unread(files: DataFrame) -> DataFrame:
+    return files.selectExpr("file_id", "0L as n_rows", "0L as n_bad", "problem as reason", "false as succeeded")
 
 
 def last_file_wins(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from orderweave.plans.derived import events_q
 from orderweave.plans.pipeline import run_files
 from orderweave.session import fresh_path, pin
 from orderweave.sources import feeds, store
-from orderweave.sources.tables import raw_q, raw_s, write_raw
+from orderweave.sources.tables import raw_q, raw_s, write_raw, write_raw_s
 
 _EV = ", ".join(EVENT_COLUMNS)
 _NUM = "price size remaining_size"
@@ -17,7 +17,7 @@ _NUM = "price size remaining_size"
 
 @once
 def files_s(spark, sf):
-    return write_raw(raw_s(spark, sf), ";", fresh_path(spark, "files-s"))
+    return write_raw_s(raw_s(spark, sf), fresh_path(spark, "files-s"))
 
 
 @once
@@ -25,9 +25,14 @@ def files_q(spark, sf):
     return write_raw(raw_q(spark, sf), ",", fresh_path(spark, "files-q"))
 
 
+@once
+def feed_s(spark, sf):
+    return feeds.Feed(spark, files_s(spark, sf), feeds.STYLE_S, "*.csv")
+
+
 @once
 def rows_s(spark, sf):
-    return pin(feeds.read_feed(spark, files_s(spark, sf), feeds.STYLE_S), "rows-s")
+    return pin(feed_s(spark, sf).rows(), "rows-s")
 
 
 @once
@@ -39,14 +44,15 @@ _TICK = "100 + floor(value * 4) / 4"
 _TEXT = f"""concat(CAST(CAST(({_TICK}) * 100 AS BIGINT) // 100 AS VARCHAR), '.',
   lpad(CAST(CAST(({_TICK}) * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0'))"""
 
-# the raw rows, said once more from the events table
-_RAW_S = f"""raw_s AS (SELECT *, hour(ts) >= 20 AND event_id % 7 = 0 AS late,
+# the raw rows, said once more from the events table; those of the file without a required column are not read
+_RAW_S = f"""raw_files AS (SELECT *, hour(ts) >= 20 AND event_id % 7 = 0 AS late,
     CASE WHEN user_id % 3 = 2 AND dayofmonth(ts) = 5 THEN 'nosymbol.csv' ELSE concat(strftime(CAST(ts AS DATE)
       + CASE WHEN hour(ts) >= 20 AND event_id % 7 = 0 THEN 1 ELSE 0 END, '%Y%m%d'),
       '_SYM', CAST(user_id % 3 AS VARCHAR), '.csv') END AS file_id,
     CASE WHEN event_id % 997 < 3 THEN 'SNAPSHOT' WHEN event_id % 211 = 0 THEN 'PING' WHEN event_type = 'signup' THEN 'ADD'
       WHEN event_type = 'view' THEN 'SUB' WHEN event_type = 'purchase' THEN 'MATCH'
-      WHEN event_type = 'click' THEN 'SET' ELSE 'DELETE' END AS raw_type FROM events)"""
+      WHEN event_type = 'click' THEN 'SET' ELSE 'DELETE' END AS raw_type FROM events),
+  raw_s AS (SELECT * FROM raw_files WHERE file_id NOT LIKE '______07_SYM2.csv')"""
 _BAD_CLOCK = "(user_id % 3 = 2 AND dayofmonth(ts) = 6 AND hour(ts) < 20 AND event_id % 41 = 40)"
 _NS_S = f"CASE WHEN NOT {_BAD_CLOCK} AND file_id <> 'nosymbol.csv' THEN epoch_us(ts) * 1000 + 700 END"
 # the seventh digit of the clock is a 7: 700 ns
@@ -56,7 +62,7 @@ _STAGE_S = f"""{_RAW_S}, rows_s AS (SELECT file_id, event_id AS line_no, {_NS_S}
     CASE WHEN event_id % 113 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'BID' ELSE 'ASK' END AS side,
     CASE WHEN event_id % 59 <> 0 THEN {_TICK} END AS price, CAST((event_id * 7) % 5 AS DOUBLE) AS size, raw_type,
     CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN CAST(event_id % 6 AS DOUBLE) END AS new_size,
-    CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN {_TICK} END AS new_price FROM raw_s)"""
+    CASE WHEN event_type = 'click' AND event_id % 3 <> 0 AND user_id % 3 <> 2 THEN {_TICK} END AS new_price FROM raw_s)"""
 _STAGE_Q = f"""rows_q AS (SELECT concat('20240101_SYM', CAST(user_id % 3 AS VARCHAR), '.csv') AS file_id,
     epoch_us(ts) * 1000 + 7 AS ts, concat('SYM', CAST(user_id % 3 AS VARCHAR)) AS symbol,
     CAST(user_id AS VARCHAR) AS order_id,
@@ -82,7 +88,7 @@ _STAGE_Q = f"""rows_q AS (SELECT concat('20240101_SYM', CAST(user_id % 3 AS VARC
       CASE WHEN event_id % 59 = 0 THEN 'n/a' ELSE {_TEXT} END AS entry_px,
       CAST((event_id * 7) % 5 AS VARCHAR) AS entry_sx, raw_type AS update_type,
       CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN CAST(event_id % 6 AS VARCHAR) END AS new_size,
-      CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN {_TEXT} END AS new_price FROM raw_s""",
+      CASE WHEN event_type = 'click' AND event_id % 3 <> 0 AND user_id % 3 <> 2 THEN {_TEXT} END AS new_price FROM raw_s""",
 )
 def scan_csv(spark, sf):
     return feeds.scan_csv(spark, files_s(spark, sf), feeds.STYLE_S).drop("line_no")
@@ -100,14 +106,22 @@ def scan_filename_meta(spark, sf):
     return rows.groupBy("file_id", "file_date", "file_symbol").count().withColumnRenamed("count", "n_rows")
 
 
+_MISSING = "update_type; available: time_exchange, time_coinapi, order_id, is_buy, entry_px, entry_sx, new_size, new_price"
+
+
 @query(
     "scan_directory",
-    f"""WITH {_STAGE_S} SELECT file_id, count(*) AS n_rows,
-      count(*) FILTER (WHERE ts IS NULL OR symbol IS NULL) AS n_bad,
-      count(*) FILTER (WHERE ts IS NULL OR symbol IS NULL) = 0 AS succeeded FROM rows_s GROUP BY file_id""",
+    f"""WITH {_STAGE_S}, bad AS (SELECT file_id, line_no, CASE WHEN file_id = 'nosymbol.csv' THEN 'file name is not DATE_SYMBOL.csv'
+        ELSE concat('unreadable time ', chr(39), strftime(e.ts, '%Y-%m-%d'), ' noon', chr(39)) END AS reason
+      FROM rows_s JOIN events e ON e.event_id = line_no WHERE rows_s.ts IS NULL OR symbol IS NULL),
+    read_files AS (SELECT r.file_id, count(*) AS n_rows, count(b.reason) AS n_bad, arg_min(b.reason, r.line_no) FILTER (WHERE b.reason IS NOT NULL) AS reason
+      FROM rows_s r LEFT JOIN bad b USING (file_id, line_no) GROUP BY r.file_id)
+    SELECT *, n_bad = 0 AS succeeded FROM read_files
+    UNION ALL SELECT DISTINCT file_id, 0, 0, 'missing column(s): {_MISSING}', FALSE FROM raw_files WHERE file_id LIKE '______07_SYM2.csv'
+    UNION ALL SELECT '20240229_SYM0.csv', 0, 0, NULL, TRUE""",
 )
 def scan_directory(spark, sf):
-    return feeds.file_status(rows_s(spark, sf))
+    return feeds.file_status(rows_s(spark, sf), feed_s(spark, sf).files)
 
 
 # ------------------------------------------------------------------- stage A ----
@@ -167,16 +181,22 @@ def midnight_correction(spark, sf):
     )
 
 
-@query("require_columns", f"WITH {_RAW_S} SELECT raw_type AS update_type, count(*) AS n FROM raw_s GROUP BY raw_type")
+@query(
+    "require_columns",
+    f"""WITH {_RAW_S} SELECT DISTINCT file_id, CASE WHEN file_id LIKE '______07_SYM2.csv' THEN 'update_type' END AS missing FROM raw_files
+      UNION ALL SELECT '20240229_SYM0.csv', NULL""",
+)
 def require_columns(spark, sf):
-    raw = raw_s(spark, sf)
-    feeds.require_columns(raw, feeds.STYLE_S.ts, feeds.STYLE_S.raw_type)
-    return raw.groupBy("update_type").count().withColumnRenamed("count", "n")
+    return feed_s(spark, sf).files.select("file_id", "missing")
 
 
-@query("sort_stable", f"WITH {_STAGE_Q} SELECT ts, file_id, order_id, raw_type FROM rows_q")
+@query(
+    "sort_stable",
+    f"""WITH {_STAGE_Q.replace("AS flags FROM events", "AS flags, event_id FROM events")}
+      SELECT row_number() OVER (ORDER BY ts, file_id, event_id) AS place, ts, file_id, order_id, raw_type FROM rows_q""",
+)
 def sort_stable(spark, sf):
-    return feeds.in_time_order(rows_q(spark, sf)).select("ts", "file_id", "order_id", "raw_type")
+    return feeds.numbered(rows_q(spark, sf), "place").select("place", "ts", "file_id", "order_id", "raw_type")
 
 
 # --------------------------------------------------------------------- store ----
@@ -214,8 +234,8 @@ _LAST = "ts DESC NULLS LAST, side DESC NULLS LAST, event_type DESC NULLS LAST, p
 @query(
     "sink_merge",
     _q(
-        f""", old AS (SELECT *, 0 AS batch FROM stored WHERE event_seq % 2 = 0),
-        new AS (SELECT * REPLACE (size + 100 AS size), 1 AS batch FROM stored WHERE event_seq % 3 = 0),
+        f""", old AS (SELECT *, 0 AS batch FROM stored WHERE event_seq % 3 <> 1),
+        new AS (SELECT * REPLACE (size + 100 AS size), 1 AS batch FROM stored WHERE event_seq % 3 <> 0 OR event_seq % 2 = 0),
         shared AS (SELECT symbol, date FROM old INTERSECT SELECT symbol, date FROM new),
         both_batches AS (SELECT * FROM old UNION ALL SELECT * FROM new),
         kept AS (SELECT b.* FROM both_batches b JOIN shared USING (symbol, date) QUALIFY row_number() OVER (
@@ -228,8 +248,8 @@ _LAST = "ts DESC NULLS LAST, side DESC NULLS LAST, event_type DESC NULLS LAST, p
 def sink_merge(spark, sf):
     root = fresh_path(spark, "store")
     events = _public(spark, sf)
-    store.write_events(events.where("event_seq % 2 = 0"), root)
-    late = events.where("event_seq % 3 = 0").selectExpr(
+    store.write_events(events.where("event_seq % 3 <> 1"), root)
+    late = events.where("event_seq % 3 <> 0 or event_seq % 2 = 0").selectExpr(
         *[f"{c} + 100 as {c}" if c == "size" else c for c in EVENT_COLUMNS]
     )
     store.write_events(late, root, "merge")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -52,16 +54,53 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/orderweave-{spark.sparkContext.applicationId}"
 
 
+#: Folder of the innermost run that is under way in this thread.
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or _own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path in its terms."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    system, path = file_system(spark, folder)
+    system.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's pinned tables once its results are stored elsewhere.
 
     Frames that read them, and remembered query inputs, must not be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession, tag: str = "run"):
+    """Everything pinned inside is deleted at the end, also after a failure. Runs nest; ``keep`` saves a table of an inner
+    run for the outer one."""
+    folder = fresh_path(spark, tag)
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        _delete(spark, folder)
+
+
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """Pin ``df`` outside the run that is under way."""
+    folder = _RUN.get()
+    token = _RUN.set(folder.rpartition("/")[0] if folder else None)
+    try:
+        return pin(df, tag)
+    finally:
+        _RUN.reset(token)
 
 
 def pin(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -1,29 +1,149 @@
-"""Event store: Parquet partitioned by source, symbol and UTC date."""
+"""Event store: Parquet partitioned by source, symbol and UTC date.
+
+Writes touch the folders of their partitions only: those are derived from the batch, so neither the store's other
+partitions nor a listing of them is read. New partitions are first written below a hidden folder of the store. A manifest that
+names them makes the write final; then each partition's folder is swapped. A write that is lost before the manifest leaves
+the store as it was; one lost after it is completed by the next writer, and until then readers take its partitions
+from where they are. So a batch is seen whole or not at all. There is one writer at a time.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable
 from datetime import date, timedelta
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderweave.functions.columns import utc_date
-from orderweave.session import configure, pin, sql
+from orderweave.session import configure, file_system, keep, pin, sql
+from orderweave.sources.feeds import literal_path
 
 PARTITION = ["source", "symbol", "date"]
 DEDUP_KEY = ["order_id", "session_id", "event_seq"]
 MODES = ("merge", "overwrite", "error")
+#: Hidden folder of a store for writes that are not yet in place, and in it the manifest of each final one.
+STAGED, MANIFEST = "_staged", "manifest.json"
+
+
+# -------------------------------------------------------------- partitions ----
+
+
+def _escaped(value: str | None) -> str:
+    """A partition value as it stands in a folder name."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    # fixed values: the signs that Hive-style folder names write in hexadecimal
+    unsafe = set("\"#%'*/:=?\\\x7f{[]^") | {chr(i) for i in range(1, 32)}
+    return "".join(f"%{ord(c):02X}" if c in unsafe else c for c in value)
+
+
+def partition_folder(partition: Iterable[str | None]) -> str:
+    return "/".join(f"{c}={_escaped(v)}" for c, v in zip(PARTITION, partition))
+
+
+def touched_partitions(events: DataFrame) -> list[tuple[str | None, ...]]:
+    """The partitions that ``events`` belong to, sorted. Their names are on the driver, as those of a write are in any case."""
+    dated = events.selectExpr("source", "symbol", f"{utc_date('ts')} as date").distinct()
+    return sorted((tuple(r) for r in dated.toLocalIterator()), key=lambda p: [(v is not None, v or "") for v in p])
+
+
+def _folders(spark: SparkSession, path: str) -> set[str]:
+    """Names of the folders directly below ``path``."""
+    system, found = file_system(spark, path)
+    if not system.exists(found):
+        return set()
+    return {s.getPath().getName() for s in system.listStatus(found) if s.isDirectory()}
+
+
+def _present(spark: SparkSession, root: str, folders: list[str]) -> list[str]:
+    """Those of the given partition folders that exist: one listing for each source and symbol."""
+    parents: dict[str, list[str]] = {}
+    for folder in folders:
+        parent, _, name = folder.rpartition("/")
+        parents.setdefault(parent, []).append(name)
+    return [f"{parent}/{name}" for parent, names in parents.items() for name in sorted(_folders(spark, f"{root}/{parent}").intersection(names))]
+
+
+# ------------------------------------------------------------------ commit ----
 
 
-def _existing(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(root)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def _commit(spark: SparkSession, root: str, write: str, folders: list[str]) -> None:
+    """Make a staged write final and put its partitions in place."""
+    staged = f"{root}/{STAGED}/{write}"
+    system, final = file_system(spark, f"{staged}/{MANIFEST}")
+    draft = file_system(spark, f"{staged}/_{MANIFEST}")[1]
+    out = system.create(draft, True)
+    out.write(bytearray(json.dumps(folders).encode()))
+    out.close()
+    if not system.rename(draft, final):  # from here on the write counts
+        raise OSError(f"cannot write the manifest of {staged}")
+    _swap(spark, root, write, folders)
+
+
+def _swap(spark: SparkSession, root: str, write: str, folders: list[str]) -> None:
+    """Put the partitions of a final write in place. Done again after a failure it goes on where it stopped."""
+    staged = f"{root}/{STAGED}/{write}"
+    for folder in folders:
+        system, new = file_system(spark, f"{staged}/new/{folder}")
+        if not system.exists(new):
+            continue  # in place already
+        place, old = (file_system(spark, p)[1] for p in (f"{root}/{folder}", f"{staged}/old/{folder}"))
+        if system.exists(place):
+            system.delete(old, True)
+            system.mkdirs(old.getParent())
+            if not system.rename(place, old):
+                raise OSError(f"cannot set aside {root}/{folder}")
+        system.mkdirs(place.getParent())
+        if not system.rename(new, place):
+            raise OSError(f"cannot put {root}/{folder} in place")
+    system, path = file_system(spark, staged)
+    system.delete(path, True)
+
+
+def _final_writes(spark: SparkSession, root: str) -> dict[str, list[str] | None]:
+    """The partition folders of each write below STAGED, None for one that is not final."""
+    found: dict[str, list[str] | None] = {}
+    for write in sorted(_folders(spark, f"{root}/{STAGED}")):
+        system, manifest = file_system(spark, f"{root}/{STAGED}/{write}/{MANIFEST}")
+        found[write] = None
+        if system.exists(manifest):
+            java = spark.sparkContext._jvm.java.io
+            lines = java.BufferedReader(java.InputStreamReader(system.open(manifest), "UTF-8"))
+            found[write] = json.loads(lines.readLine())
+            lines.close()
+    return found
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """Complete the writes that are final, and drop those that are not. For the writer only."""
+    for write, folders in _final_writes(spark, root).items():
+        if folders is None:
+            system, path = file_system(spark, f"{root}/{STAGED}/{write}")
+            system.delete(path, True)
+        else:
+            _swap(spark, root, write, folders)
+
+
+def _bases(spark: SparkSession, root: str) -> dict[str, str]:
+    """Where the partitions of final writes are that are not in place yet: folder to base path."""
+    found = {}
+    for write, folders in _final_writes(spark, root).items():
+        base = f"{root}/{STAGED}/{write}/new"
+        found |= {f: base for f in _present(spark, base, folders or [])}
+    return found
+
+
+def _read(spark: SparkSession, root: str, folders: list[str], bases: dict[str, str] | None = None) -> DataFrame:
+    """The rows of some partitions; only their folders are listed."""
+    at: dict[str, list[str]] = {}
+    for folder in folders:
+        at.setdefault((bases or {}).get(folder, root), []).append(folder)
+    parts = [spark.read.option("basePath", base).parquet(*[f"{base}/{literal_path(f)}" for f in own]) for base, own in at.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -51,45 +171,55 @@ def merged(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> Data
 
 
 def write_events(
-    events: DataFrame, root: str, mode: str = "merge", key: list[str] | None = None
+    events: DataFrame,
+    root: str,
+    mode: str = "merge",
+    key: list[str] | None = None,
+    touched: list[tuple] | None = None,
 ) -> DataFrame | None:
     """Write events into their partitions and return the touched ones, or None if there were no rows.
 
     ``merge`` folds new rows into existing partitions, ``overwrite`` replaces the touched partitions
     only, ``error`` refuses before anything is written if one of them exists. Rows are range-partitioned
-    on (partition, ts, order), so a large partition is written by many tasks and files stay sorted."""
+    on (partition, ts, order), so a large partition is written by many tasks and files stay sorted.
+    ``touched`` are the partitions of ``events``, where the caller knows them; ``events`` is then not written
+    down first."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = configure(events.sparkSession)
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "dynamic"
-    batch = pin(events.selectExpr("*", f"{utc_date('ts')} as date"), "batch")
-    touched = batch.select(*PARTITION).distinct()
-    if touched.isEmpty():
+    recover(spark, root)
+    batch = events.selectExpr("*", f"{utc_date('ts')} as date")
+    if touched is None:
+        batch = pin(batch, "batch")
+        touched = touched_partitions(batch.drop("date"))
+    if not touched:
         return None
 
-    old = _existing(spark, root)
+    folders = [partition_folder(p) for p in touched]
+    present = _present(spark, root, folders)
+    if mode == "error" and present:
+        raise FileExistsError(f"{root} already holds {len(present)} of {len(folders)} partitions of this batch, first {present[0]}; use merge or overwrite")
     rows = batch
-    if old is not None:
-        present = old.join(touched, PARTITION, "left_semi")
-        if mode == "error" and not present.isEmpty():
-            raise FileExistsError(f"{root} already holds partitions of this batch; use merge or overwrite")
-        if mode == "merge":
-            fresh = touched.join(present.select(*PARTITION).distinct(), PARTITION, "left_anti")
-            # only partitions that exist are de-duplicated; the result is pinned before they are replaced
-            rows = pin(
-                merged(present, batch.join(fresh, PARTITION, "left_anti"), key).unionByName(
-                    batch.join(fresh, PARTITION, "left_semi")
-                ),
-                "merged",
-            )
+    if mode == "merge" and present:
+        old = _read(spark, root, present)
+        known = set(present)
+        if len(present) == len(folders):
+            rows = merged(old, batch, key)
+        else:
+            # only partitions that exist are de-duplicated
+            marks = spark.createDataFrame([(*p, f in known) for p, f in zip(touched, folders)], "source string, symbol string, date string, there boolean")
+            same = " and ".join(f"b.{c} <=> m.{c}" for c in PARTITION)
+            marked = pin(sql(f"select b.*, m.there from {{b}} b join {{m}} m on {same}", b=batch, m=marks), "marked")
+            rows = merged(old, marked.where("there").drop("there"), key).unionByName(marked.where("not there").drop("there"))
+    write = uuid.uuid4().hex
     (
         rows.repartitionByRange(*PARTITION, "ts", "order_id", "event_seq")
         .sortWithinPartitions(*PARTITION, "ts", "order_id", "event_seq")
-        .write.mode("overwrite")
-        .partitionBy(*PARTITION)
-        .parquet(root)
+        .write.partitionBy(*PARTITION)
+        .parquet(f"{root}/{STAGED}/{write}/new")
     )
-    return touched
+    _commit(spark, root, write, folders)
+    return keep(spark.createDataFrame(touched, "source string, symbol string, date string"), "touched")
 
 
 def resolve_dates(dates: str | Iterable[str] | tuple[str, str]) -> list[str]:
@@ -105,36 +235,51 @@ def resolve_dates(dates: str | Iterable[str] | tuple[str, str]) -> list[str]:
 
 
 def load_events(spark: SparkSession, root: str, source: str, symbol: str, dates) -> DataFrame:
-    """Events of the requested partitions sorted by time; a missing partition raises."""
+    """Events of the requested partitions sorted by time; a missing partition raises. Only the folders asked for are read."""
     wanted = resolve_dates(dates)
-    stored = _existing(configure(spark), root)
-    if stored is None:
+    bases = _bases(configure(spark), root)
+    if not bases and not any("=" in name for name in _folders(spark, root)):
         raise FileNotFoundError(f"no events under {root}")
-    rows = stored.where(
-        (stored.source == source.upper()) & (stored.symbol == symbol) & stored.date.isin(wanted)
-    )
-    found = {r["date"] for r in rows.select("date").distinct().collect()}  # at most len(wanted) rows
-    missing = [d for d in wanted if d not in found]
+    folders = [partition_folder((source.upper(), symbol, d)) for d in wanted]
+    found = {*_present(spark, root, folders), *bases}
+    missing = [d for d, f in zip(wanted, folders) if f not in found]
     if missing:
         raise FileNotFoundError(f"no events for source={source.upper()}, symbol={symbol}, dates={missing}")
-    return rows.orderBy("ts", "order_id", "event_seq")
+    return _read(spark, root, folders, bases).orderBy("ts", "order_id", "event_seq")
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame | None:
+    """All events of the store with their partition columns, or None if there are none."""
+    bases = _bases(configure(spark), root)
+    there = any("=" in name for name in _folders(spark, root))
+    if not bases:
+        return spark.read.parquet(root) if there else None
+    waiting = _read(spark, root, sorted(bases), bases)
+    if not there:
+        return waiting
+    same = " and ".join(f"s.{c} <=> w.{c}" for c in PARTITION)
+    kept = sql(f"select s.* from {{s}} s left anti join {{w}} w on {same}", s=spark.read.parquet(root), w=waiting.select(*PARTITION).distinct())
+    return kept.unionByName(waiting)
 
 
 def list_available(
     spark: SparkSession, root: str, source: str | None = None, symbol: str | None = None
 ) -> DataFrame:
     """Partitions with their row counts; no data column is read."""
-    stored = _existing(configure(spark), root)
-    if stored is None:
+    bases = _bases(configure(spark), root)
+    there = any("=" in name for name in _folders(spark, root))
+    stored = [("0", spark.read.parquet(root))] if there else []
+    stored += [("1", _read(spark, root, sorted(bases), bases))] if bases else []
+    if not stored:
         return spark.createDataFrame([], "source string, symbol string, date string, rows bigint, path string")
-    if source:
-        stored = stored.where(F.upper(stored.source) == source.upper())
-    if symbol:
-        stored = stored.where(stored.symbol == symbol)
-    return (
-        stored.selectExpr(*PARTITION, "regexp_replace(_metadata.file_path, '/[^/]*$', '') as path")
-        .groupBy(*PARTITION)
-        .agg({"*": "count", "path": "min"})
-        .selectExpr(*PARTITION, "`count(1)` as rows", "`min(path)` as path")
-        .orderBy(*PARTITION)
-    )
+    counts = []
+    for waiting, rows in stored:
+        if source:
+            rows = rows.where(F.upper(rows.source) == source.upper())
+        if symbol:
+            rows = rows.where(rows.symbol == symbol)
+        rows = rows.selectExpr(*PARTITION, "regexp_replace(input_file_name(), '/[^/]*$', '') as path")
+        counts.append(rows.groupBy(*PARTITION).agg({"*": "count", "path": "min"}).selectExpr(*PARTITION, f"struct({waiting} as waiting, `count(1)` as rows, `min(path)` as path) as found"))
+    # a partition that waits to be put in place counts instead of the one it replaces
+    found = reduce(DataFrame.unionByName, counts).groupBy(*PARTITION).agg(F.max("found").alias("found"))
+    return found.selectExpr(*PARTITION, "found.rows as rows", "found.path as path").orderBy(*PARTITION)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from orderweave.plans.pipeline import run_rows
-from orderweave.session import configure
-from orderweave.sources.feeds import configure_reader, placed_lines, style_of
+from orderweave.plans.pipeline import run_files
+from orderweave.session import configure, run_folder
+from orderweave.sources.feeds import FeedStyle, literal_path, style_of
+
+# fixed values: the columns of Spark's file listing
+_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def ingest(
     spark: SparkSession,
     directory: str,
-    source: str,
+    source: str | FeedStyle,
     root: str,
     checkpoint: str,
     symbol: str | None = None,
@@ -21,17 +24,27 @@ def ingest(
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Process the files not seen before and stop. A batch that is repeated after a failure merges the
-    same rows again, which leaves the store as it was."""
+    same rows again, which leaves the store as it was.
+
+    The stream is one of file names: contents are not read until a batch runs, when each file is read by its own header.
+    What a batch writes in between is deleted once its events are stored."""
     style = style_of(source)
     stream = (
-        configure_reader(configure(spark).readStream, style, glob)
+        configure(spark)
+        .readStream.format("binaryFile")
+        .schema(_LISTING)
+        .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(directory)
-        .selectExpr("*", "_metadata as _file")
+        .load(directory)
+        .select("path")
     )
 
     def store(batch: DataFrame, _: int) -> None:
-        run_rows(placed_lines(batch, style), source, root, symbol)
+        with run_folder(spark, "batch"):
+            paths = [literal_path(r["path"]) for r in batch.collect()]  # files_per_batch names at most
+            if paths:
+                run_files(spark, paths, style, root, symbol, glob=None)
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -198,3 +198,207 @@ def test_stream_of_files(spark, tmp_path):
     write_s(folder, "20240118_X.csv", "10:00:00.000000;10:00:00.000000;9;1;100;5;ADD;;")
     ingest(spark, str(folder), "coinbase", root, str(tmp_path / "offsets")).awaitTermination()
     assert stored(spark, root) == [*EXPECTED, ("9", "2024-01-18", "ADD", 5.0)]
+
+
+# ------------------------------------------------------------------ headers ----
+
+LINES = [
+    dict(time_exchange="23:59:59.1234567", time_coinapi="00:00:01.000000", order_id="1", is_buy="1", entry_px="100.5", entry_sx="2", update_type="ADD"),
+    dict(time_exchange="09:30:00.000000", time_coinapi="09:30:00.100000", order_id="2", is_buy="0", entry_px="99", entry_sx="3", update_type="SET", new_size="1.5", new_price="98.5"),
+]
+
+
+def write_columns(folder, name, columns, lines=LINES):
+    folder.mkdir(exist_ok=True)
+    rows = [";".join(line.get(c, "") for c in columns) for line in lines]
+    (folder / name).write_text("\n".join([";".join(columns), *rows]) + "\n")
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    named = HEAD_S.split(";")
+    orders = {
+        "a": named,
+        "b": named[::-1],
+        "c": ["venue", *named[3:], *named[:3]],
+        "d": [c for c in named if c != "new_price"],
+        "e": ['"update_type"', *[c for c in named if c != "update_type"]],
+    }
+    lines = [dict(line, **{'"update_type"': line["update_type"]}) for line in LINES]
+    for name, columns in orders.items():
+        write_columns(tmp_path / name, "20240116_X.csv", columns, lines)
+    columns = ["ts", "symbol", "order_id", "side", "price", "size", "raw_type", "new_size", "new_price"]
+    got = {n: feeds.read_feed(spark, str(tmp_path / n), feeds.STYLE_S).orderBy("line_no").select(*columns).collect() for n in orders}
+    assert got["a"] == got["b"] == got["c"] == got["e"]
+    assert [r.asDict() | {"new_price": None} for r in got["a"]] == [r.asDict() for r in got["d"]]
+    assert got["a"][1].new_price == 98.5 and got["a"][0].ts == ns("2024-01-15T23:59:59.1234567")
+    # all at once: rows of every layout, absent columns null
+    whole = feeds.scan_csv(spark, str(tmp_path), feeds.STYLE_S)
+    assert whole.columns == [*named, "file_id", "line_no"] and whole.count() == 10
+    assert whole.where("new_price is null and order_id = '2'").count() == 1
+
+
+def test_names_in_a_header():
+    assert feeds._names("﻿a; b;a;a;", ";") == ("a", "b", "a.1", "a.2", "")
+    assert feeds._names('"x;y";z', ";") == ("x;y", "z")
+
+
+def test_files_that_cannot_be_read_say_why(spark, tmp_path):
+    folder, root = tmp_path / "raw", str(tmp_path / "events")
+    folder.mkdir()
+    pipeline_files(folder)
+    write_columns(folder, "20240118_X.csv", ["time_exchange", "order_id", "entry_sx"])
+    write_columns(folder, "20240119_X.csv", HEAD_S.split(";"), [])
+    (folder / "20240120_X.csv").write_text("")
+    write_columns(folder, "20240121_[X]{1}.csv", HEAD_S.split(";")[::-1])
+    result = run_files(spark, str(folder), "coinbase", root)
+    assert {r.file_id: (r.n_rows, r.n_bad, r.reason, r.succeeded) for r in result.files.collect()} == {
+        "20240115_X.csv": (2, 0, None, True),
+        "20240116_X.csv": (2, 0, None, True),
+        "20240117_X.csv": (1, 1, "unreadable time '2024-01-17 soon'", False),
+        "stray.csv": (1, 1, "file name is not DATE_SYMBOL.csv", False),
+        "20240118_X.csv": (0, 0, "missing column(s): update_type; available: time_exchange, order_id, entry_sx", False),
+        "20240119_X.csv": (0, 0, None, True),
+        "20240120_X.csv": (0, 0, "empty file", False),
+        "20240121_%5BX%5D%7B1%7D.csv": (2, 0, None, True),
+    }
+    assert [r for r in stored(spark, root) if r[1] < "2024-01-18"] == EXPECTED
+    only = str(folder / "20240118_X.csv")
+    with pytest.raises(KeyError, match="update_type"):
+        feeds.read_feed(spark, only, feeds.STYLE_S)
+    assert feeds.scan_csv(spark, only, feeds.STYLE_S).count() == 0
+    assert run_files(spark, only, "coinbase", root).touched is None
+
+
+def test_too_many_headers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "MOST_LAYOUTS", 2)
+    for i in range(3):
+        write_columns(tmp_path / "raw", f"2024011{i}_X.csv", [*HEAD_S.split(";"), f"extra{i}"])
+    with pytest.raises(ValueError, match="more than 2"):
+        feeds.Feed(spark, str(tmp_path / "raw"), feeds.STYLE_S)
+
+
+def test_a_source_from_configuration(spark, tmp_path):
+    config = {
+        "csv_divider": "|",
+        "column_map": {"ts": "at", "order_id": "id", "side": "way", "price": "px"},
+        "size_col_priority": ["rest", "qty"],
+        "event_type_col": "kind",
+        "aux_cols": ["new_size", "new_price"],
+        "side_map": {1: "BID", 2: "ASK", 3: None},
+        "price_scale": 0.01,
+        "filename_parsing": {"date_injection": True, "date_format": "%d-%m-%Y", "filename_sep": "~"},
+    }
+    style = feeds.register_style(feeds.style_from_config("thirdparty", config))
+    try:
+        assert feeds.style_of("ThirdParty") is style
+        (tmp_path / "15-01-2024~ABC.csv").write_text("px|kind|id|way|qty|at\n10050|ADD|7|1|3|10:00:00.5\n10050|MATCH|7|3|3|10:00:01.5\n")
+        root = str(tmp_path / "events")
+        result = run_files(spark, str(tmp_path / "15-01-2024~ABC.csv"), "thirdparty", root)
+        assert result.files.first().succeeded
+        got = store.load_events(spark, root, "thirdparty", "ABC", "2024-01-15").collect()
+        assert [(r.event_type, r.price, r.size, r.side, r.ts) for r in got] == [
+            ("ADD", 100.5, 3.0, "BID", ns("2024-01-15T10:00:00.5")),
+            ("FILL", 100.5, 3.0, None, ns("2024-01-15T10:00:01.5")),
+        ]
+    finally:
+        del feeds.STYLES["thirdparty"]
+    with pytest.raises(ValueError, match="date_format"):
+        feeds.style_from_config("x", config | {"filename_parsing": {"date_format": "%B"}})
+
+
+# ------------------------------------------------------------ staged writes ----
+
+
+def input_files(df):
+    return [f for f in df.inputFiles()]
+
+
+def test_a_merge_reads_the_touched_partition_only(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "events")
+    first = events(spark, 3)
+    for day in range(1, 20):
+        first = first.union(events(spark, 2, day=day))
+    store.write_events(first, root)
+    seen = []
+    plain = store.merged
+    monkeypatch.setattr(store, "merged", lambda old, new, key=None: seen.append(input_files(old)) or plain(old, new, key))
+    store.write_events(events(spark, 2, size=5.0, day=7).union(events(spark, 1, day=30)), root)
+    assert len(seen) == 1 and seen[0] and all("date=2024-03-30" in f for f in seen[0])
+    assert store.list_available(spark, root).count() == 21
+    loaded = store.load_events(spark, root, "coinbase", "20260101", "2024-03-30")
+    assert all("date=2024-03-30" in f for f in input_files(loaded)) and [r.size for r in loaded.collect()] == [5.0, 5.0]
+
+
+def sizes(spark, root, day=("2024-03-23", "2024-03-25")):
+    return [r.size for r in store.load_events(spark, root, "coinbase", "20260101", day).collect()]
+
+
+def three_days(spark, size):
+    return events(spark, 1, size=size).union(events(spark, 1, size=size, day=1)).union(events(spark, 1, size=size, day=2))
+
+
+@pytest.mark.parametrize("swapped", [None, 0, 1, 2])
+def test_a_write_lost_half_way_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch, swapped):
+    """Lost before the manifest (None), or after some partitions were swapped."""
+    root = str(tmp_path / "events")
+    store.write_events(three_days(spark, 1.0), root)
+    with monkeypatch.context() as m:
+        if swapped is None:
+            m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        else:
+            swap = store._swap
+
+            def some(spark, root, write, folders):
+                real = store.file_system
+
+                def last(spark_, path):
+                    if path.endswith(f"/new/{folders[swapped]}"):
+                        raise RuntimeError("lost")
+                    return real(spark_, path)
+
+                m.setattr(store, "file_system", last)
+                swap(spark, root, write, folders)
+
+            m.setattr(store, "_swap", some)
+        with pytest.raises(RuntimeError, match="lost"):
+            store.write_events(three_days(spark, 2.0), root, "overwrite")
+    want = 1.0 if swapped is None else 2.0
+    # readers
+    assert sizes(spark, root) == [want] * 3
+    assert [r.size for r in store.read_store(spark, root).collect()] == [want] * 3
+    listed = store.list_available(spark, root).collect()
+    assert [(r.date, r.rows) for r in listed] == [("2024-03-23", 1), ("2024-03-24", 1), ("2024-03-25", 1)]
+    # the next writer clears up, and its own write is not disturbed
+    store.write_events(events(spark, 1, size=9.0, day=1), root, "overwrite")
+    assert sizes(spark, root) == [want, 9.0, want]
+    assert store._folders(spark, f"{root}/{store.STAGED}") == set()
+
+
+def test_partition_names_with_signs(spark, tmp_path):
+    root = str(tmp_path / "events")
+    for _ in range(2):
+        store.write_events(events(spark, 2, symbol="BTC/USD=%é [x]"), root)
+    assert store.load_events(spark, root, "coinbase", "BTC/USD=%é [x]", "2024-03-23").count() == 2
+    assert store.list_available(spark, root, symbol="BTC/USD=%é [x]").first().rows == 2
+    with pytest.raises(FileExistsError, match="1 of 1"):
+        store.write_events(events(spark, 1, symbol="BTC/USD=%é [x]"), root, "error")
+
+
+def test_runs_leave_no_scratch_behind(spark, tmp_path):
+    import glob
+
+    from orderweave.session import _own_dir, keep, pin, run_folder
+
+    with run_folder(spark) as outer:
+        with run_folder(spark):
+            inner, kept = pin(spark.range(3), "a"), keep(spark.range(4), "b")
+        assert kept.count() == 4 and inner.inputFiles()[0].startswith("file:") and not glob.glob(f"{outer}/run-*")
+    assert not glob.glob(outer)
+    folder, root = tmp_path / "raw", str(tmp_path / "events")
+    folder.mkdir()
+    before = set(glob.glob(f"{_own_dir(spark)}/*"))
+    for i in range(5):
+        write_s(folder, f"2024011{i}_X.csv", "10:00:00.000000;10:00:00.000000;1;1;100;5;ADD;;")
+    ingest(spark, str(folder), "coinbase", root, str(tmp_path / "offsets"), files_per_batch=1).awaitTermination()
+    assert len(stored(spark, root)) == 5
+    assert set(glob.glob(f"{_own_dir(spark)}/*")) == before
