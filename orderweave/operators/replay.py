@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 
 from orderweave.operators import scan
 from orderweave.operators.scan import Chunks, attach
-from orderweave.session import configure, fresh_path, pin, sql
+from orderweave.session import configure, pin, sql
 
 EVENT_COLUMNS = [
     "order_id", "session_id", "symbol", "source", "side", "event_type",
     "event_seq", "ts", "price", "size", "remaining_size", "reason",
 ]
 
-# Longest history folded inside one row; longer ones are cut at fresh ADDs and, if need be, chained.
+# Longest history folded inside one row; longer ones are cut into slices, whose effects are chained.
 FOLD_ROWS = 5_000
 # Rows of a history folded at a time; near the square root of FOLD_ROWS, so that neither level copies much.
 RUN_ROWS = 64
@@ -241,8 +241,8 @@ def _step_q() -> str:
       else a end"""
 
 
-def _fold(style: str, state: str = _DEAD) -> str:
-    """Fold of the column ``history`` from ``state``: last state fields and the emitted events.
+def _fold(style: str, state: str = _DEAD, history: str = "history") -> str:
+    """Fold of the array ``history`` from ``state``: last state fields and the emitted events.
 
     Every step copies the events emitted so far, so the history is folded RUN_ROWS rows at a time: a run copies
     its own events only, and the list of runs, which grows by one per run, is flattened once at the end."""
@@ -252,9 +252,9 @@ def _fold(style: str, state: str = _DEAD) -> str:
           'side', {of}.side, 'seq', {of}.seq, 'out', {out})"""
 
     step = _step_s() if style == "S" else _step_q()
-    run = f"""aggregate(slice(history, k * {RUN_ROWS} + 1, {RUN_ROWS}), {fields("runs", _NO_EVENT)}, (a, r) -> {step},
+    run = f"""aggregate(slice({history}, k * {RUN_ROWS} + 1, {RUN_ROWS}), {fields("runs", _NO_EVENT)}, (a, r) -> {step},
       a -> {fields("a", "concat(runs.out, array(a.out))")})"""
-    return f"""aggregate(sequence(0, (size(history) - 1) div {RUN_ROWS}), {fields(state, f"slice(array({_NO_EVENT}), 1, 0)")},
+    return f"""aggregate(sequence(0, (size({history}) - 1) div {RUN_ROWS}), {fields(state, f"slice(array({_NO_EVENT}), 1, 0)")},
       (runs, k) -> {run}, runs -> {fields("runs", "flatten(runs.out)")})"""
 
 
@@ -264,8 +264,11 @@ def _packed(order: list[str]) -> str:
     return f"array_sort(collect_list(struct({', '.join(columns)}))) as history"
 
 
-_FOLDED_STATE = """named_struct('live', f.live, 'remaining', f.remaining, 'price', f.price, 'side', f.side,
-  'seq', f.seq) as state"""
+def _state(f: str) -> str:
+    return f"named_struct('live', {f}.live, 'remaining', {f}.remaining, 'price', {f}.price, 'side', {f}.side, 'seq', {f}.seq)"
+
+
+_FOLDED_STATE = f"{_state('f')} as state"
 
 
 def _fold_short(ops: DataFrame, order: list[str], style: str) -> DataFrame:
@@ -280,42 +283,129 @@ def _fold_short(ops: DataFrame, order: list[str], style: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------- effects of a slice ----
+# What a slice of a history does to whatever state comes in, as a small value. Up to the end of its *head* the outcome depends
+# on the incoming state, so the head's rows are part of the value. The head ends with the first row that fixes what later
+# rows ask for: the remaining size (and in style Q, which compares prices, the price). From there on the slice leads to
+# one of two states, for an order that is live then and for one that is gone; whatever is not set in between is marked, and taken
+# from the state after the head. A slice without such a row mostly takes sizes away: max(x - a, b) if x > t, else the
+# order is gone.
+
+# marks, outside all values that occur: a price, a side and a sequence number carried over from before
+_CARRIED_PRICE, _CARRIED_SIDE, _CARRIED_SEQ = "-1.25e300D", "'<carried>'", 1 << 30
+# the state of a live order after the row ``r`` that fixes it
+_FIXED = {
+    style: f"named_struct('live', true, 'remaining', {size}, 'price', {price}, 'side', {_CARRIED_SIDE}, 'seq', {_CARRIED_SEQ})"
+    for style, size, price in (("S", "if(r.op = 'SET', r.new_size, r.size)", _CARRIED_PRICE), ("Q", "r.size", "r.price"))
+}
+
+# sizes that are multiples of 2**-20 and add up to less than 2**32 are added and subtracted without rounding
+_INEXACT = """if(coalesce((op in ('SET', 'REPLACE') or size * 1048576D = floor(size * 1048576D))
+  and coalesce(new_size * 1048576D = floor(new_size * 1048576D), true)
+  and (op <> 'REPLACE' or coalesce(size * 1048576D = floor(size * 1048576D), true)), false), 0L, 1L)"""
+
+_FIXES = {
+    "S": "r.op in ('ADD', 'REPRICE') or (r.op = 'SET' and r.new_size is not null)",
+    "Q": "r.op = 'ADD' or (r.op = 'REPLACE' and r.size is not null and r.price is not null)",
+}
+_TAKES = {"S": "r.op in ('SUB', 'MATCH', 'DELETE', 'SET')", "Q": "r.op in ('TAKE', 'TAKE_TRADE', 'CUT')"}
+
+
+def _taken(style: str) -> str:
+    """The effect of rows that only take away."""
+    mortal = {"S": "r.op = 'DELETE'", "Q": "true"}[style]
+    idle = {"S": "(r.op = 'DELETE' and r.size = 0) or (r.op = 'SET' and r.new_price is null)", "Q": "false"}[style]
+    return f"""aggregate(history, named_struct('a', 0D, 'b', double('-Infinity'), 't', double('-Infinity'), 'seq', 0,
+        'price', cast(null as double)), (c, r) -> case when {idle} then c
+      when r.op = 'SET' then named_struct('a', c.a, 'b', c.b, 't', c.t, 'seq', c.seq + 1, 'price', r.new_price)
+      else named_struct('a', c.a + r.size, 'b', greatest(c.b - r.size, 0D),
+        't', if({mortal} and not c.b > r.size, greatest(c.t, c.a + r.size), c.t), 'seq', c.seq + 1, 'price', c.price) end)"""
+
+
+def _bound(expression: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for the value of ``expression``."""
+    return f"element_at(transform(array({expression}), {name} -> {body}), 1)"
+
+
+def _effect(style: str) -> str:
+    """The effect of the array ``history``; ``n_head`` is the length of its head, 0 if nothing is fixed."""
+    tail = "slice(history, n_head + 1, size(history))"
+    after = _bound("history[n_head - 1]", "r", _bound(_FIXED[style], "mid", _bound(_fold(style, "mid", tail), "f", _state("f"))))
+    gone = _bound(_fold(style, _DEAD, tail), "f", _state("f"))
+    takes = f"n_head = 0 and exact and forall(history, r -> {_TAKES[style]})"
+    return f"""named_struct('takes', if({takes}, {_taken(style)}, null), 'head', case when n_head > 0 then slice(history, 1, n_head)
+        when {takes} then slice(history, 1, 0) else history end,
+      'live', if(n_head > 0, {after}, null), 'gone', if(n_head > 0, {gone}, null))"""
+
+
+def _applied(style: str) -> str:
+    """The state that the effect ``m`` makes of the state ``s``."""
+    left = f"""named_struct('live', true, 'remaining', greatest(s.remaining - m.takes.a, m.takes.b),
+      'price', coalesce(m.takes.price, s.price), 'side', s.side, 'seq', s.seq + m.takes.seq)"""
+    chained = f"""named_struct('live', m.live.live, 'remaining', m.live.remaining,
+      'price', if(m.live.price <=> {_CARRIED_PRICE}, mid.price, m.live.price),
+      'side', if(m.live.side <=> {_CARRIED_SIDE}, mid.side, m.live.side),
+      'seq', if(m.live.seq >= {_CARRIED_SEQ}, mid.seq + m.live.seq - {_CARRIED_SEQ}, m.live.seq))"""
+    slow = _bound(_fold(style, "s", "m.head"), "mid", f"case when m.live is null then {_state('mid')} when mid.live then {chained} else m.gone end")
+    return f"""case when m.takes is null then {slow} when not s.live then s when s.remaining <= m.takes.t then {_DEAD} else {left} end"""
+
+
 def _fold_long(ops: DataFrame, order: list[str], style: str) -> tuple[DataFrame, DataFrame]:
-    """Histories longer than FOLD_ROWS: cut at fresh ADDs, which reset the state, so the pieces are
-    independent; pieces still too long are folded slice after slice with the state handed on.
+    """Histories longer than FOLD_ROWS, in slices of that length counted from each fresh ADD, which resets the state.
+
+    All slices are first summed up by their effects, at the same time; the effects of one life are chained, which gives
+    the state that each slice starts from; then all slices are folded, at the same time. Nothing waits for a slice but
+    the chain, which sees a few rows of each. The events and the double arithmetic are those of a row-by-row replay: only
+    where sizes add up without rounding does a slice that takes sizes away stand for all its rows in the chain.
 
     Returns the emitted events per piece and the last state of each order."""
     chunks = Chunks(ops, _ORDER_KEY, order, "long-orders")
-    numbered = chunks.scan(sums={"life": "if(op = 'ADD', 1L, 0L)", "row_no": "1L"})
+    numbered = chunks.scan(
+        sums={"life": "if(op = 'ADD', 1L, 0L)", "row_no": "1L"},
+        totals={"inexact": _INEXACT, "volume": "abs(coalesce(size, 0D)) + abs(coalesce(new_size, 0D))"},
+    )
     numbered = chunks.scan(numbered, lasts={"born_row": "if(op = 'ADD', row_no, null)"})
-    cut = numbered.selectExpr("*", f"cast((row_no - coalesce(born_row, 1)) div {FOLD_ROWS} as int) as slice")
+    cut = numbered.selectExpr(
+        "*", f"(row_no - coalesce(born_row, 1)) div {FOLD_ROWS} as slice", "inexact = 0 and volume < 4294967296D as exact"
+    )
     key = [*_ORDER_KEY, "life"]
-    # one directory per slice, so that a round reads its own rows only
-    pieces = pin(cut.repartitionByRange("slice", *key), "long-order-pieces", ["slice"])
-
-    spark, done = pieces.sparkSession, fresh_path(pieces.sparkSession, "long-order-folds")
-    slices = pieces.selectExpr("max(slice) as last").first()["last"] + 1
     keys = ", ".join(key)
-    for k in range(slices):
-        histories = sql(
-            f"select {keys}, {_packed(order)} from {{pieces}} where slice = {k} group by {keys}", pieces=pieces
+    head = f"array_position(transform(history, r -> coalesce({_FIXES[style]}, false)), true)"
+    slices = sql(
+        f"select {keys}, slice, bool_and(exact) as exact, {_packed(order)} from {{cut}} group by {keys}, slice", cut=cut
+    ).selectExpr("*", f"cast({head} as int) as n_head")
+    slices = pin(slices.selectExpr(*key, "slice", "history", f"{_effect(style)} as effect"), "slices")
+
+    # the states before each slice of a life, in runs as in _fold
+    step = f"""aggregate(slice(effects.effect, k * {RUN_ROWS} + 1, {RUN_ROWS}), named_struct('s', runs.s, 'before', slice(array(runs.s), 1, 0)),
+      (x, m) -> named_struct('s', {_bound("x.s", "s", _applied(style))}, 'before', concat(x.before, array(x.s))),
+      x -> named_struct('s', x.s, 'before', concat(runs.before, array(x.before))))"""
+    chain = f"""aggregate(sequence(0, (size(effects) - 1) div {RUN_ROWS}), named_struct('s', {_DEAD}, 'before', slice(array(array({_DEAD})), 1, 0)),
+      (runs, k) -> {step}, runs -> flatten(runs.before))"""
+    before = sql(
+        f"""
+        with lives as (
+          select {keys}, array_sort(collect_list(struct(slice, effect))) as effects from {{slices}} group by {keys}
         )
-        if k == 0:
-            started = histories.selectExpr("*", f"{_DEAD} as state")
-        else:
-            before = spark.read.parquet(f"{done}/slice={k - 1}").select(*key, "state")
-            same = " and ".join(f"h.{c} <=> b.{c}" for c in key)
-            started = sql(f"select h.*, b.state from {{histories}} h left join {{before}} b on {same}", histories=histories, before=before)
-        folded = started.selectExpr(*key, f"{_fold(style, 'state')} as f").selectExpr(*key, _FOLDED_STATE, "f.out as out")
-        folded.write.parquet(f"{done}/slice={k}")
-
-    union = spark.read.parquet(done).selectExpr(*key, "state", "out", "cast(slice as int) as slice")
+        select {keys}, posexplode({chain}) as (slice, state) from lives
+        """,
+        slices=slices,
+    )
+    before = pin(before, "before")
+    same = " and ".join(f"h.{c} <=> b.{c}" for c in key)
+    started = sql(
+        f"select h.{', h.'.join(key)}, h.slice, h.history, b.state from {{slices}} h join {{before}} b on {same} and h.slice = b.slice",
+        slices=slices,
+        before=before,
+    )
+    folded = started.selectExpr(*key, "slice", f"{_fold(style, 'state')} as f").selectExpr(*key, "slice", _FOLDED_STATE, "f.out as out")
+    folded = pin(folded, "long-order-folds")
     final = sql(
         f"""select {", ".join(_ORDER_KEY)}, max_by(state, struct(life, slice)) as state
-            from {{union}} group by {", ".join(_ORDER_KEY)}""",
-        union=union,
+            from {{folded}} group by {", ".join(_ORDER_KEY)}""",
+        folded=folded,
     )
-    return union.select(*_ORDER_KEY, "out"), final
+    return folded.select(*_ORDER_KEY, "out"), final
 
 
 _RESET = """array(named_struct('symbol', boundary.symbol, 'side', state.side, 'event_type', 'CANCEL',

@@ -236,3 +236,71 @@ def test_running_numbers_of_a_null_key(spark):
         assert marked.count() == 5000 and marked.where("number is null").count() == 0
     finally:
         spark.conf.unset(CHUNKS_CONF)
+
+
+def long_life(style, n, seed, sizes, absolute):
+    """One order with a third of all rows, added once; ``absolute`` is how often a row sets its size anew."""
+    rng = random.Random(seed)
+    first = "ADD" if style == "S" else "A"
+    row = s_row if style == "S" else q_row
+    rows = [row(0, first, 40.0, oid="hot", file="a")]
+    for i in range(1, n):
+        if rng.random() < 0.34:
+            size, price = rng.choice(sizes), rng.choice([100.0, 100.5, None])
+            change = rng.random() < absolute
+            if style == "S":
+                # a repricing ADD and its SUB keep the life going
+                if change and rng.random() < 0.3:
+                    rows += [row(i, "SUB", 7.0, ts=i, oid="hot", file="a"), row(i + 0.5, "ADD", 7.0, ts=i, price=99.0, oid="hot", file="a")]
+                    continue
+                kind = "SET" if change or rng.random() < 0.1 else rng.choices(["SUB", "MATCH", "DELETE"], [3, 3, 0.2])[0]
+                rows.append(row(i, kind, size, price=price or 1.0, oid="hot", new_size=rng.choice([8.0, 3.0]) if change else None, new_price=price, file="a"))
+            else:
+                kind = "M" if change else rng.choices("CFT", [6, 0.1, 0.1])[0]
+                rows.append(row(i, kind, rng.choice([8.0, 3.0]) if change else size, price=price, oid="hot", sequence=float(i // 3), side=rng.choice(["BID", "ASK"]), file="a"))
+        else:
+            rows.append(row(i, rng.choice(["ADD", "SUB"] if style == "S" else "AC"), 1.0, oid=str(rng.randrange(200)), file=rng.choice("ab")))
+    return [(r[0], int(2 * r[1]), *r[2:]) for r in rows]
+
+
+@pytest.mark.parametrize("style", ["S", "Q"])
+@pytest.mark.parametrize("sizes,absolute", [((0.0, 0.25, 0.5), 0.0), ((0.1, 0.3, None), 0.05), ((0.25, -0.5, 0.0), 0.02)])
+def test_a_life_of_many_slices(spark, monkeypatch, style, sizes, absolute):
+    """A third of the rows on one order without a fresh ADD: the chain of effects gives what a row-by-row replay gives."""
+    monkeypatch.setattr(replay, "FOLD_ROWS", 5)
+    monkeypatch.setattr(replay, "RUN_ROWS", 3)
+    spark.conf.set(CHUNKS_CONF, "3")
+    try:
+        rows = long_life(style, 400, 3, sizes, absolute)
+        schema, fn = (S_SCHEMA, replay.replay_s) if style == "S" else (Q_SCHEMA, replay.replay_q)
+        events, open_orders = fn(spark.createDataFrame(rows, schema).repartition(4))
+        got = sorted((tuple(r) for r in events.select("file_id", *OUT).collect()), key=repr)
+        names = [c.split()[0] for c in schema.split(", ")]
+        want, live = [], 0
+        for file in "ab":
+            out, n = (by_hand.run_s if style == "S" else by_hand.run_q)([dict(zip(names, r)) for r in rows if r[0] == file])
+            want += [(file, *e) for e in out]
+            live += n
+        assert got == sorted(want, key=repr)
+        assert open_orders.count() == live
+    finally:
+        spark.conf.unset(CHUNKS_CONF)
+
+
+def test_the_number_of_jobs_does_not_follow_the_longest_history(spark, monkeypatch):
+    monkeypatch.setattr(replay, "FOLD_ROWS", 50)
+
+    def jobs(n):
+        rows = spark.range(n).selectExpr(
+            "'f' as file_id", "id as line_no", f"{T0} + id as ts", "'X' as symbol", "'1' as order_id", "'BID' as side", "100D as price",
+            "if(id = 0, 1e6D, 1D) as size", "if(id = 0, 'ADD', 'SUB') as raw_type", "cast(null as double) as new_size", "cast(null as double) as new_price",
+        )
+        group = f"jobs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert replay.stage_b_s(rows).agg({"remaining_size": "min"}).first()[0] == 1e6 - (n - 1)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+
+    assert jobs(4000) <= jobs(400) + 12
