@@ -177,43 +177,6 @@ def sample_rows(df: DataFrame, n: int, identity, seed: int = 42) -> DataFrame:
     return sql(f"select * from {{df}} order by md5(concat_ws('|', '{seed}', {key})), {key} limit {n}", df=df)
 
 
-def local_smooth(pairs: DataFrame, by, frac: float = 0.3, points: int = 100) -> DataFrame:
-    """Local-linear curve with tricube weights on an even grid over all rows; the half-width is ``frac``
-    of the range. Each distinct pair meets only the grid points it reaches."""
-    keys = ", ".join(by)
-    cells = pin(
-        sql(f"select {keys}, x, y, count(*) as n from {{pairs}} group by {keys}, x, y", pairs=pairs), "cells"
-    )
-    span = sql(
-        f"""select {keys}, count(*) as n_cells, min(x) as low, (max(x) - min(x)) / {points - 1} as step,
-              {frac}D * (max(x) - min(x)) as h
-            from {{cells}} group by {keys}""",
-        cells=cells,
-    )
-    return sql(
-        f"""
-        with reached as (
-          select {keys}, x, y, n, low, step, h, explode(sequence(
-              greatest(0, cast(ceil((x - h - low) / step) as int)),
-              least({points - 1}, cast(floor((x + h - low) / step) as int)))) as point
-          from {{scaled}} where step > 0
-        ), weighted as (
-          select {keys}, point, low + point * step as grid_x, y, x - (low + point * step) as dx,
-            n * pow(1 - pow(least(1, abs(x - (low + point * step)) / h), 3), 3) as w
-          from reached
-        ), sums as (
-          select {keys}, point, min(grid_x) as grid_x, sum(w) as sw, sum(w * dx) as sx, sum(w * y) as sy,
-            sum(w * dx * dx) as sxx, sum(w * dx * y) as sxy
-          from weighted group by {keys}, point
-        )
-        select {keys}, point, grid_x,
-          if(sw * sxx - sx * sx > 1e-9D * sw * sxx, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx), sy / sw) as smooth
-        from sums where sw > 0
-        """,
-        scaled=attach(cells, span, by, ["low", "step", "h"], "x, y", rows="n_cells"),
-    )
-
-
 # --------------------------------------------------------- principal axes ----
 
 

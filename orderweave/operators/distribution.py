@@ -6,6 +6,8 @@ Exact order statistics come from the distinct values with running counts
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from orderweave.functions.columns import kolmogorov_tail, normal_cdf, normal_quantile
@@ -92,13 +94,86 @@ def density_hist(df: DataFrame, by, column: str, bins: int, above: float | None
     )
 
 
+#: Moments of a cell, and bandwidths beyond which a kernel counts for nothing (it is below 1e-19 there).
+TERMS, REACH = 14, 9.5
+
+
 def kde(ranked: DataFrame, by, points: int, high_q: float | None = None, low_q: float | None = None) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid, beside the normal density of the
     same mean and deviation.
 
     The grid runs from the minimum to the ``high_q`` quantile (or maximum). With ``low_q`` only values
     above that quantile are used and the grid starts there; the normal reference still describes all
-    values. Work is distinct values times grid points, summed before the shuffle."""
+    values.
+
+    The kernel sums are a fast Gauss transform: values are put into cells of half a bandwidth, each cell keeps TERMS moments
+    about its centre, and a grid point within REACH bandwidths of it gets their Hermite series. Moments are added up
+    before the shuffle, and after it the work is that of cells and grid, not of values; the error of the density times the
+    bandwidth is below 1e-12."""
+    used, shape = _kde_shape(ranked, by, high_q, low_q)
+    grid = _kde_grid(shape, by, points)
+    keys = ", ".join(by)
+    moments = [f"sum(n * pow(u, {k})) / {math.factorial(k)} as m{k}" for k in range(TERMS)]
+    # the series by powers of the distance: coefficients of the Hermite polynomials, gathered by power
+    hermite = [[1], [0, 1]]
+    for k in range(1, TERMS - 1):
+        a, b = [0, *hermite[k]], [*(k * c for c in hermite[k - 1]), 0, 0]
+        hermite.append([x - y for x, y in zip(a, b)])
+    by_power = [" + ".join(f"{hermite[k][j]} * m{k}" for k in range(j, TERMS) if hermite[k][j]) + f" as c{j}" for j in range(TERMS)]
+    horner = f"c{TERMS - 1}"
+    for j in range(TERMS - 2, -1, -1):
+        horner = f"(c{j} + v * {horner})"
+    sums = sql(
+        f"""
+        with placed as (
+          select {keys}, n, cell, low, high, h, (x - low) / h - (cell + 0.5D) / 2 as u
+          from (select *, floor((x - low) / h * 2) as cell from {{used}})
+        ), cells as (
+          select {keys}, cell, min(low) as low, min(h) as h, min((high - low) / {points - 1} / h) as step, {", ".join(moments)}
+          from placed group by {keys}, cell
+        ), series as (
+          select {keys}, (cell + 0.5D) / 2 as centre, step, {", ".join(by_power)} from cells
+        ), reached as (
+          select *, explode(filter(if(step > 0, sequence(
+              cast(greatest(0, ceil((centre - {REACH}) / step)) as int),
+              cast(least({points - 1}, floor((centre + {REACH}) / step)) as int)), sequence(0, {points - 1})),
+            p -> abs(p * step - centre) <= {REACH})) as point
+          from series where centre + {REACH} >= 0 and centre - {REACH} <= {points - 1} * step
+        )
+        select {keys}, point, sum(exp(-0.5D * v * v) * {horner}) as kernel
+        from (select *, point * step - centre as v from reached) group by {keys}, point
+        """,
+        used=used,
+    )
+    same = " and ".join([*[f"g.{k} <=> s.{k}" for k in by], "g.point = s.point"])
+    return sql(
+        f"""select {", ".join(f"g.{k}" for k in by)}, g.point, grid_x, coalesce(kernel, 0D) / (n_used * h * sqrt(2 * pi())) as density, normal_density
+            from {{grid}} g left join {{sums}} s on {same}""",
+        grid=grid,
+        sums=sums,
+    )
+
+
+def normal_on_grid(ranked: DataFrame, by, points: int, high_q: float | None = None, low_q: float | None = None) -> DataFrame:
+    """The grid of ``kde`` with the normal density of the same mean and deviation; no kernel is summed."""
+    return _kde_grid(_kde_shape(ranked, by, high_q, low_q)[1], by, points).select(*by, "point", "grid_x", "normal_density")
+
+
+def _kde_grid(shape: DataFrame, by, points: int) -> DataFrame:
+    keys = ", ".join(by)
+    return sql(
+        f"""
+        select {keys}, point, grid_x, n_used, h,
+          exp(-0.5D * pow((grid_x - mean_all) / sd_all, 2)) / (sd_all * sqrt(2 * pi())) as normal_density
+        from (select *, low + point * (high - low) / {points - 1} as grid_x
+              from {{shape}} lateral view explode(sequence(0, {points - 1})) as point)
+        """,
+        shape=shape,
+    )
+
+
+def _kde_shape(ranked: DataFrame, by, high_q: float | None, low_q: float | None) -> tuple[DataFrame, DataFrame]:
+    """The values used, with ends and bandwidth of their group, and a row of these for each group."""
     keys = ", ".join(by)
     wanted = {"q_low": low_q if low_q is not None else 0.0, "q_high": high_q if high_q is not None else 1.0}
     ends = quantiles(ranked, by, wanted)
@@ -126,22 +201,8 @@ def kde(ranked: DataFrame, by, points: int, high_q: float | None = None, low_q:
         """,
         centred=centred,
     )
-    used = attach(values.where("used"), shape, by, ["low", "high", "h"], "x", rows="n_values").where("h > 0")
-    return sql(
-        f"""
-        with sums as (
-          select {keys}, point,
-            sum(n * exp(-0.5D * pow((low + point * (high - low) / {points - 1} - x) / h, 2))) as kernel
-          from {{used}} lateral view explode(sequence(0, {points - 1})) as point
-          group by {keys}, point
-        )
-        select {keys}, point, grid_x, kernel / (n_used * h * sqrt(2 * pi())) as density,
-          exp(-0.5D * pow((grid_x - mean_all) / sd_all, 2)) / (sd_all * sqrt(2 * pi())) as normal_density
-        from (select *, low + point * (high - low) / {points - 1} as grid_x from sums join {{shape}} using ({keys}))
-        """,
-        used=used,
-        shape=shape,
-    )
+    shape = pin(shape, "shape")
+    return attach(values.where("used"), shape, by, ["low", "high", "h"], "x", rows="n_values").where("h > 0"), shape
 
 
 def ks_normal(ranked: DataFrame, moment: DataFrame, by) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from orderweave.operators import scan
-from orderweave.operators.scan import Chunks, attach
+from orderweave.operators.scan import Chunks, attach, marks_so_far, run_numbers
 from orderweave.session import configure, pin, sql
 
 EVENT_COLUMNS = [
@@ -90,9 +90,10 @@ def effective_rows_s(rows: DataFrame) -> DataFrame:
 
 
 def sessionize_s(rows: DataFrame) -> DataFrame:
-    """Number the book sessions: each run of SNAPSHOT rows in file order opens one."""
-    chunks = Chunks(rows, ["file_id"], ["ts", "line_no"], "sessions")
-    return chunks.runs("raw_type = 'SNAPSHOT'", "opens", "session_id")
+    """Number the book sessions: each run of SNAPSHOT rows in file order opens one. Rows are pinned."""
+    rows, flag, order = pin(rows, "effective"), "raw_type = 'SNAPSHOT'", ["ts", "line_no"]
+    numbered = run_numbers(rows, flag, ["file_id"], order, "opens", "session_id")
+    return pin(Chunks(rows, ["file_id"], order, "sessions").runs(flag, "opens", "session_id"), "sessioned") if numbered is None else numbered
 
 
 def _operations_s(rows: DataFrame) -> DataFrame:
@@ -132,9 +133,13 @@ def effective_rows_q(rows: DataFrame) -> DataFrame:
 
 
 def sessionize_q(rows: DataFrame) -> DataFrame:
-    """Number the book sessions: every R row opens one."""
-    chunks = Chunks(rows.selectExpr("*", "raw_type = 'R' as opens"), ["file_id"], _Q_ORDER, "sessions")
-    return chunks.scan(sums={"_opened": "cast(opens as int)"}).selectExpr("*", "cast(_opened as int) as session_id")
+    """Number the book sessions: every R row opens one. Rows are pinned."""
+    rows = pin(rows.selectExpr("*", "raw_type = 'R' as opens"), "effective")
+    numbered = marks_so_far(rows, "opens", ["file_id"], _Q_ORDER, "session_id")
+    if numbered is None:
+        chunks = Chunks(rows, ["file_id"], _Q_ORDER, "sessions")
+        numbered = pin(chunks.scan(sums={"_opened": "cast(opens as int)"}).selectExpr("*", "cast(_opened as int) as session_id"), "sessioned")
+    return numbered
 
 
 def _operations_q(rows: DataFrame) -> DataFrame:
@@ -457,14 +462,14 @@ def replay_s(rows: DataFrame, source: str = "COINBASE", drop_filled: bool = Fals
 
     Fully filled orders stay on the book until deleted or reset; ``drop_filled`` spares them the reset."""
     configure(rows.sparkSession)
-    sessioned = pin(sessionize_s(effective_rows_s(rows)), "sessioned")
+    sessioned = sessionize_s(effective_rows_s(rows))
     return _replay(sessioned, _operations_s(sessioned), ["ts", "line_no"], "S", source, drop_filled)
 
 
 def replay_q(rows: DataFrame, source: str = "DATABENTO"):
     """Style-Q Stage A rows to (events, orders still open at the end of their file)."""
     configure(rows.sparkSession)
-    sessioned = pin(sessionize_q(effective_rows_q(rows)), "sessioned")
+    sessioned = sessionize_q(effective_rows_q(rows))
     return _replay(sessioned, _operations_q(sessioned), _Q_ORDER, "Q", source, False)
 
 

@@ -19,6 +19,8 @@ CHUNK = "_chunk"
 # At most this many groups are broadcast; any other group holds less than 1/HOT_GROUPS of the rows.
 HOT_GROUPS = 2000
 HOT_ROWS = 10_000
+#: So many marked rows are sent to every task and looked up there; more are counted by a scan in ranges.
+MOST_MARKS = 20_000
 
 
 class Chunks:
@@ -195,3 +197,61 @@ def attach(
         df=df,
         groups=groups,
     )
+
+
+def _counted(sorted_array: str, position: str) -> str:
+    """How many elements of a sorted array are not beyond ``position``: a search by halves."""
+    steps = [1 << k for k in range(MOST_MARKS.bit_length() - 1, -1, -1)]
+    return f"""aggregate(array({", ".join(map(str, steps))}), 0, (c, p) ->
+      if(coalesce(c + p <= size({sorted_array}) and get({sorted_array}, c + p - 1) <= {position}, false), c + p, c))"""
+
+
+def marks_so_far(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame | None:
+    """Count, for each row, the rows of its key with ``flag`` up to and including itself, or None if MOST_MARKS is exceeded.
+
+    Where marks are rare, their sorted positions go to every task (MOST_MARKS of them at most), and the other rows need not
+    be moved or sorted. A null key is a key."""
+    key_list = ", ".join(keys)
+    position = f"struct({', '.join(order)})"
+    marks = pin(df.where(flag).selectExpr(*keys, f"{position} as position"), "marks")
+    if marks.count() > MOST_MARKS:
+        return None
+    lists = sql(f"select {key_list}, array_sort(collect_list(position)) as _marks from {{m}} group by {key_list}", m=marks)
+    same = " and ".join(f"d.{k} <=> l.{k}" for k in keys)
+    kept = ", ".join(f"d.`{c}`" for c in df.columns)
+    return sql(
+        f"""select /*+ broadcast(l) */ {kept}, {_counted("l._marks", f"struct({', '.join(f'd.{c}' for c in order)})")} as {name}
+            from {{df}} d left join {{lists}} l on {same}""",
+        df=df,
+        lists=lists,
+    )
+
+
+def run_numbers(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], opens: str, number: str) -> DataFrame | None:
+    """``Chunks.runs`` for rare flags, by ``marks_so_far``: a flagged row opens a run if it is the first of its key or a
+    row without the flag stands between it and the flagged row before. None if MOST_MARKS is exceeded."""
+    placed = marks_so_far(df, flag, keys, order, "_mark")
+    if placed is None:
+        return None
+    key_list = ", ".join(keys)
+    firsts = sql(
+        f"""
+        with seen as (
+          select {key_list}, _mark, max(coalesce({flag}, false)) as marked, max(not coalesce({flag}, false)) as other
+          from {{placed}} group by {key_list}, _mark
+        ), totals as (select *, max(if(marked, _mark, 0)) over (partition by {key_list}) as n from seen)
+        select {key_list}, array_sort(array_distinct(concat(array(1), collect_list(if(other and _mark < n, _mark + 1, null))))) as _firsts
+        from totals where n > 0 group by {key_list}
+        """,
+        placed=placed,
+    )
+    firsts = pin(firsts, "runs")  # no more entries than marks
+    same = " and ".join(f"d.{k} <=> f.{k}" for k in keys)
+    kept = ", ".join(f"d.`{c}`" for c in df.columns)
+    return sql(
+        f"""select /*+ broadcast(f) */ {kept}, coalesce({flag}, false) and coalesce(array_contains(f._firsts, d._mark), false) as {opens},
+              {_counted("f._firsts", "d._mark")} as {number}
+            from {{placed}} d left join {{firsts}} f on {same}""",
+        placed=placed,
+        firsts=firsts,
+    )

@@ -41,12 +41,12 @@ def events_q(spark, sf_dir):
 
 @once
 def sessions_s(spark, sf_dir):
-    return pin(sessionize_s(effective_rows_s(feed_s(spark, sf_dir))), "sessions-s")
+    return sessionize_s(effective_rows_s(feed_s(spark, sf_dir)))
 
 
 @once
 def sessions_q(spark, sf_dir):
-    return pin(sessionize_q(effective_rows_q(feed_q(spark, sf_dir))), "sessions-q")
+    return sessionize_q(effective_rows_q(feed_q(spark, sf_dir)))
 
 
 @once

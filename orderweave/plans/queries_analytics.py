@@ -6,6 +6,7 @@ from orderweave.functions.columns import kolmogorov_tail, normal_cdf, normal_qua
 from orderweave.operators import dependence as dep
 from orderweave.operators import distribution as dist
 from orderweave.operators import microstructure as micro
+from orderweave.operators import smooth
 from orderweave.operators import summary
 from orderweave.plans import oracle as o
 from orderweave.plans.catalog import query
@@ -269,7 +270,21 @@ def kde_grid_pc1(spark, sf):
     "grid_x normal_density",
 )
 def gaussian_ref_pdf(spark, sf):
-    return dist.kde(dist.rank_values(filled_q(spark, sf), BY, "abs_dist"), BY, 500, high_q=0.995).drop("density")
+    return dist.normal_on_grid(dist.rank_values(filled_q(spark, sf), BY, "abs_dist"), BY, 500, high_q=0.995)
+
+
+# prices are spread over 1e5, so densities are shown a million times larger
+_MILLIONFOLD = "symbol, point, grid_x, 1e6 * density AS density, 1e6 * normal_density AS normal_density"
+
+
+@query(
+    "kde_grid_lineitem",
+    _items(f", xs AS (SELECT symbol, l_extendedprice AS x FROM items), kde AS (WITH zero AS (SELECT 1) {_KDE}) SELECT {_MILLIONFOLD} FROM kde"),
+    "grid_x density normal_density",
+)
+def kde_grid_lineitem(spark, sf):
+    found = dist.kde(dist.rank_values(lineitem(spark, sf), BY, "l_extendedprice"), BY, 500, high_q=0.995)
+    return found.selectExpr(*_MILLIONFOLD.split(", "))
 
 
 def _ks_twin() -> str:
@@ -532,20 +547,35 @@ def sample_n(spark, sf):
     return dep.sample_rows(lineitem(spark, sf), 5000, _LINE)
 
 
-_SMOOTH = """, span AS (SELECT symbol, min(x) AS low, (max(x) - min(x)) / 99 AS step, 0.3 * (max(x) - min(x)) AS h
-    FROM pairs GROUP BY symbol),
-  weighted AS (SELECT symbol, CAST(g AS INTEGER) AS point, low + g * step AS grid_x, y, x - (low + g * step) AS dx,
-    (1 - (abs(x - (low + g * step)) / h) ** 3) ** 3 AS w
-    FROM pairs JOIN span USING (symbol), range(100) r(g) WHERE step > 0 AND abs(x - (low + g * step)) < h),
-  sums AS (SELECT symbol, point, grid_x, sum(w) AS sw, sum(w * dx) AS sx, sum(w * y) AS sy, sum(w * dx * dx) AS sxx,
-    sum(w * dx * y) AS sxy FROM weighted GROUP BY symbol, point, grid_x)
-  SELECT symbol, point, grid_x, CASE WHEN sw * sxx - sx * sx > 1e-9 * sw * sxx
-    THEN (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) ELSE sy / sw END AS smooth FROM sums WHERE sw > 0"""
-
-
-@query("local_smooth", _pairs(_SMOOTH), "grid_x smooth")
+def _smooth_twin(passes: int = 3) -> str:
+    """Every row at every grid point: the nearest 30 % by sorting distances, refitted by residuals."""
+    ctes = ["""base AS (SELECT symbol, row_number() OVER () AS id, x, y FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL),
+      span AS (SELECT symbol, min(x) AS low, (max(x) - min(x)) / 99 AS step, greatest(2, floor(0.3 * count(*) + 1e-10)) AS k
+        FROM base GROUP BY symbol HAVING max(x) > min(x)),
+      nodes AS (SELECT symbol, CAST(g AS INTEGER) AS point, low + g * step AS g, low, step, k FROM span, range(100) r(g)),
+      near AS (SELECT symbol, point, n.g, k, step, row_number() OVER (PARTITION BY symbol, point ORDER BY abs(x - n.g)) AS place, abs(x - n.g) AS d
+        FROM nodes n JOIN base USING (symbol)),
+      reach AS (SELECT symbol, point, g, greatest(1e-9 * step, d) AS h FROM near WHERE place = k),
+      weights_0 AS (SELECT id, 1.0 AS weight FROM base)"""]
+    for i in range(passes + 1):
+        ctes.append(f"""met_{i} AS (SELECT symbol, point, g, x - g AS dx, y, weight * (1 - (abs(x - g) / h) ** 3) ** 3 AS w
+          FROM reach JOIN base USING (symbol) JOIN weights_{i} USING (id) WHERE abs(x - g) < h),
+        sums_{i} AS (SELECT symbol, point, sum(w) AS sw, sum(w * dx) AS sx, sum(w * dx * dx) AS sxx, sum(w * y) AS sy, sum(w * dx * y) AS sxy
+          FROM met_{i} GROUP BY symbol, point),
+        curve_{i} AS (SELECT symbol, point, g AS grid_x, low, step, CASE WHEN sw > 1e-12 THEN CASE WHEN sw * sxx - sx * sx > 1e-9 * sw * sxx
+          THEN (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) ELSE sy / sw END END AS smooth FROM nodes LEFT JOIN sums_{i} USING (symbol, point)),
+        residuals_{i} AS (SELECT id, symbol, abs(y - (a.smooth + (b.smooth - a.smooth) * ((x - a.low) / a.step - a.point))) AS residual
+          FROM base JOIN span s USING (symbol) JOIN curve_{i} a USING (symbol) JOIN curve_{i} b USING (symbol)
+          WHERE a.point = least(98, floor((x - s.low) / s.step)) AND b.point = a.point + 1),
+        scale_{i} AS (SELECT symbol, quantile_cont(residual, 0.5) AS middle FROM residuals_{i} GROUP BY symbol),
+        weights_{i + 1} AS (SELECT id, CASE WHEN residual IS NULL OR middle <= 1e-12 THEN 1 WHEN residual < 6 * middle
+          THEN (1 - (residual / (6 * middle)) ** 2) ** 2 ELSE 0 END AS weight FROM residuals_{i} JOIN scale_{i} USING (symbol))""")
+    return f", {', '.join(ctes)} SELECT symbol, point, grid_x, smooth FROM curve_{passes} WHERE smooth IS NOT NULL"
+
+
+@query("local_smooth", _pairs(_smooth_twin()), "grid_x smooth")
 def local_smooth(spark, sf):
-    return dep.local_smooth(pairs_q(spark, sf), BY)
+    return smooth.local_smooth(pairs_q(spark, sf), BY)
 
 
 # ------------------------------------------------------------ principal axes ----

@@ -252,3 +252,50 @@ def test_sample_is_stable(spark):
     one = {r.row_no for r in dep.sample_rows(df, 50, ["row_no"]).collect()}
     two = {r.row_no for r in dep.sample_rows(df.repartition(3), 50, ["row_no"]).collect()}
     assert one == two and len(one) == 50
+
+
+@pytest.mark.parametrize("spread,outlier", [(1.0, None), (1e-6, None), (1.0, 1e9), (1.0, -1e5)])
+def test_density_from_cell_moments(spark, spread, outlier):
+    """The series gives what a sum over all values gives, also far from the bulk and on a coarse grid."""
+    import numpy as np
+
+    rng = random.Random(8)
+    x = [rng.gauss(0, spread) + (5 * spread if i % 7 == 0 else 0) for i in range(900)] + [0.25 * spread] * 50 + ([outlier] if outlier else [])
+    df = spark.createDataFrame([("g", v) for v in x], "g string, x double")
+    for low_q, high_q, points in ((None, None, 60), (0.9, None, 40), (None, 0.995, 200)):
+        got = dist.kde(dist.rank_values(df, ["g"], "x"), ["g"], points, high_q=high_q, low_q=low_q).orderBy("point").collect()
+        used = np.array([v for v in x if low_q is None or v > np.quantile(x, low_q)])
+        h = used.std(ddof=1) * len(used) ** -0.2
+        grid = np.linspace(np.quantile(x, low_q or 0), np.quantile(x, high_q or 1), points)
+        want = np.exp(-0.5 * ((grid[:, None] - used) / h) ** 2).sum(1) / (len(used) * h * np.sqrt(2 * np.pi))
+        assert np.allclose([r.grid_x for r in got], grid, rtol=1e-12, atol=1e-12 * np.abs(grid).max())
+        assert np.allclose([r.density * h for r in got], want * h, rtol=0, atol=1e-9 if outlier is None else 1e-7)
+        reference = dist.normal_on_grid(dist.rank_values(df, ["g"], "x"), ["g"], points, high_q=high_q, low_q=low_q).orderBy("point").collect()
+        assert np.allclose([r.normal_density for r in reference], [r.normal_density for r in got], rtol=1e-9)
+
+
+def test_density_of_one_repeated_end(spark):
+    """The quantiles that end the grid coincide: every point is the same."""
+    df = spark.createDataFrame([("g", v) for v in [1.0] * 500 + [9.0]], "g string, x double")
+    got = dist.kde(dist.rank_values(df, ["g"], "x"), ["g"], 5, high_q=0.5).collect()
+    assert len(got) == 5 and len({(r.grid_x, round(r.density, 9)) for r in got}) == 1 and got[0].density > 0
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_rare_flags_are_looked_up(spark, monkeypatch, most):
+    """Numbers from sorted marks equal those of a scan in ranges, which takes over beyond the limit."""
+    monkeypatch.setattr(scan, "MOST_MARKS", most)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.random() < 0.06) for i in range(400)] + [("c", 1000, False)]
+    rows += [("d", i, i < 3) for i in range(2000, 2006)]
+    df = spark.createDataFrame(rows, "k string, at long, f boolean").repartition(5)
+    found = scan.run_numbers(df, "f", ["k"], ["at"], "opens", "number")
+    if most == 2:
+        assert found is None and scan.marks_so_far(df, "f", ["k"], ["at"], "n") is None
+        return
+    want = scan.Chunks(df, ["k"], ["at"]).runs("f", "opens", "number")
+    columns = ["k", "at", "opens", "number"]
+    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    sums = scan.Chunks(df, ["k"], ["at"]).scan(sums={"n": "if(f, 1, 0)"}).select("k", "at", "n").collect()
+    assert sorted(map(repr, scan.marks_so_far(df, "f", ["k"], ["at"], "n").select("k", "at", "n").collect())) == sorted(map(repr, sums))
+    assert "RangePartitioning" not in found._jdf.queryExecution().executedPlan().toString()
