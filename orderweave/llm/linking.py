@@ -28,31 +28,37 @@ def linked_groups(
     are compared among themselves. So a group whose members hang together costs a few passes over its members,
     and no pair of a bucket is left out unless both ends are known to be connected.
 
-    With ``light`` the payload goes along with keys and leaders, so that pairs are sifted where they arise; otherwise it is
-    joined to the distinct pairs."""
-    own = payload if light else []
-    members = nodes.selectExpr("node", *own, "posexplode(keys) as (band, key)")
-    leaders = {"lo": ("min(node)", "min_by({}, node)"), "hi": ("max(node)", "max_by({}, node)")}
-    leaders["mid"] = ("min_by(node, xxhash64(node))", "min_by({}, xxhash64(node))")
-    chosen = [f"{node} as {x}" for x, (node, _) in leaders.items()]
-    chosen += [f"{value.format(c)} as {x}_{c}" for x, (_, value) in leaders.items() for c in own]
-    buckets = pin(sql(f"select key, count(*) as n, {', '.join(chosen)} from {{m}} group by key having count(*) > 1", m=members), "buckets")
-    large = buckets.where("n > 2")
-    led = [f"l.{x}" for x in leaders] + [f"l.{x}_{c}" for x in leaders for c in own]
-    crowd = pin(sql(f"select m.*, {', '.join(led)} from {{m}} m join {{l}} l on m.key = l.key", m=members, l=large), "crowd")
-
-    def leader(x: str) -> str:
-        return f"named_struct('node', {x}{''.join(f', {c!r}, {x}_{c}' for c in own)})"
-
-    pairs = sql(
-        f"""select distinct least(x.node, y.node) as a, greatest(x.node, y.node) as b from (
-             select {leader("lo")} as x, {leader("hi")} as y from {{b}} where n = 2
-             union all select explode(array({", ".join(map(leader, leaders))})), struct({", ".join(["node", *own])}) from {{c}})
-           where x.node <> y.node{f" and {likely('x', 'y')}" if light else ""}""",
-        b=buckets,
-        c=crowd,
-    )
-    if not light:
+    With ``light``, for a small payload and many keys, the keys that occur once go before anything else is carried along, and
+    the payload of members and leaders comes with them, so that pairs are sifted where they arise."""
+    members = nodes.selectExpr("node", "explode(keys) as key")
+    leaders = ["min(node) as lo", "max(node) as hi", "min_by(node, xxhash64(node)) as mid"]
+    if light:
+        shared = pin(sql("select key from {m} group by key having count(*) > 1", m=members), "shared")
+        found = sql("select m.key, m.node from {m} m join {s} s on m.key = s.key", m=members, s=shared)
+        found = pin(sql(f"select f.*, {', '.join(payload)} from {{f}} f join {{n}} n on f.node = n.node", f=found, n=nodes), "members")
+        for c in payload:
+            leaders += [f"min_by({c}, node) as lo_{c}", f"max_by({c}, node) as hi_{c}", f"min_by({c}, xxhash64(node)) as mid_{c}"]
+        buckets = pin(sql(f"select key, count(*) as n, {', '.join(leaders)} from {{f}} group by key", f=found), "buckets")
+        crowd = pin(sql("select f.*, b.* except (key) from {f} f join {b} b on f.key = b.key", f=found, b=buckets), "crowd")
+        three = ", ".join(f"named_struct('node', {x}{''.join(f', {c!r}, {x}_{c}' for c in payload)})" for x in ("lo", "hi", "mid"))
+        pairs = sql(
+            f"""select distinct least(x.node, y.node) as a, greatest(x.node, y.node) as b
+                from (select explode(array({three})) as x, struct({", ".join(["node", *payload])}) as y from {{c}})
+                where x.node <> y.node and {likely("x", "y")}""",
+            c=crowd,
+        )
+        crowd = crowd.where("n > 3")
+    else:
+        buckets = pin(sql(f"select key, count(*) as n, {', '.join(leaders)} from {{m}} group by key having count(*) > 1", m=members), "buckets")
+        large = sql("select key, lo, hi, mid from {b} where n > 2", b=buckets)
+        crowd = pin(sql("select m.*, l.lo, l.hi, l.mid from {m} m join {l} l on m.key = l.key", m=members, l=large), "crowd")
+        pairs = sql(
+            """select distinct least(a, b) as a, greatest(a, b) as b from (
+                 select lo as a, hi as b from {b} where n = 2
+                 union all select explode(array(lo, hi, mid)), node from {c}) where a <> b""",
+            b=buckets,
+            c=crowd,
+        )
         pairs = sql(
             f"""select p.a, p.b from {{pairs}} p join {{nodes}} x on p.a = x.node join {{nodes}} y on p.b = y.node
                 where {likely("x", "y")}""",
@@ -74,13 +80,13 @@ def linked_groups(
     links = confirmed(pairs)
     parts = pin(components(links), "parts")
 
-    placed = sql("select c.key, c.node, c.band, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
+    placed = sql("select c.key, c.node, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
     placed = pin(placed, "placed")
     split = pin(sql("select key from {p} group by key having min(part) <> max(part)", p=placed), "split")
     columns = ", ".join(f"r.{c}" for c in payload)
     apart = pin(
         sql(
-            f"""select p.key, p.band, p.part, r.node, r.keys, {columns}
+            f"""select p.key, p.part, r.node, {columns}
                 from {{p}} p left semi join {{s}} s on p.key = s.key join {{r}} r on p.node = r.node
                 where p.node not in (p.lo, p.hi, p.mid)""",
             p=placed,
@@ -89,12 +95,10 @@ def linked_groups(
         ),
         "apart",
     )
-    # a pair comes from the first bucket that it shares
     rest = pin(
         sql(
-            f"""select a.node as a, b.node as b from {{apart}} a join {{apart}} b
-                on a.key = b.key and a.part <> b.part and a.node < b.node and {likely("a", "b")}
-                and not arrays_overlap(slice(a.keys, 1, a.band), slice(b.keys, 1, a.band))""",
+            f"""select distinct a.node as a, b.node as b from {{apart}} a join {{apart}} b
+                on a.key = b.key and a.part <> b.part and a.node < b.node and {likely("a", "b")}""",
             apart=apart,
         ),
         "pairs",
