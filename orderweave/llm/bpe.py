@@ -141,14 +141,17 @@ class Encoder:
         cuts = (np.searchsorted(left, ends) * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def _fill(self, missing: list[tuple[str, list[str]]]) -> None:
-        """Enter words, given with their parts."""
-        new = list({p for _, parts in missing for p in parts if p not in self.parts})
-        if new:
-            self.parts.update(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new])))
-        known = self.parts
-        for word, parts in missing:
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+    def _fill(self, missing: set[str]) -> None:
+        """Enter words: those of letters only as they are, others by their parts."""
+        whole = [w for w in missing if w.isalpha()]
+        mixed = {w: _SPLIT.findall(w) for w in missing if not w.isalpha()}
+        rest = list(set().union(*mixed.values()).difference(whole, self.words, self.parts)) if mixed else []
+        if whole or rest:
+            ids = self.merge([p.encode("utf-8", "surrogatepass") for p in whole + rest])
+            self.words.update(zip(whole, ids))
+            self.parts.update(zip(rest, ids[len(whole) :]))
+        for word, parts in mixed.items():
+            self.words[word] = b"".join([self.parts[p] if p in self.parts else self.words[p] for p in parts])
 
     def _odd(self, text: str) -> bytes:
         """A text with characters outside the common ones, split by the library's own rules."""
@@ -181,8 +184,9 @@ class Encoder:
             self.words.update((w, self.older[w]) for w in known)
             missing = new - known
             if missing:
-                self._fill([(w, [w] if w.isalpha() else _SPLIT.findall(w)) for w in missing])
-            self.size += sum(_WORD_BYTES + len(w) + len(self.words[w]) for w in new)
+                self._fill(missing)
+            # a character gives a byte or more, and one id at most
+            self.size += _WORD_BYTES * len(new) + 5 * sum(map(len, new))
         word = self.words.__getitem__
         for i, found in split.items():
             done[i] = b"".join(map(word, found))

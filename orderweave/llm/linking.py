@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from orderweave.llm.components import components
 from orderweave.session import pin, sql
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written down, instead of when the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def linked_groups(
     nodes: DataFrame,
     payload: list[str],
@@ -66,9 +73,15 @@ def linked_groups(
             nodes=nodes,
         )
     pairs = pin(pairs, "pairs")
+    drop_shuffles(nodes.sparkSession)
+
+    wanted = sql("select explode(array(a, b)) as node from {p}", p=pairs)
+    if light:
+        # those that may be compared later are fetched along with the first, so that texts are gone through once
+        wanted = wanted.unionByName(crowd.where("node not in (lo, hi, mid)").select("node"))
+    first = pin(texts(wanted.distinct()), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        found = pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=pairs)), "texts")
+    def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
         both = sql(
             """select p.a, p.b, x.text as text_a, y.text as text_b
                from {p} p join {t} x on p.a = x.node join {t} y on p.b = y.node""",
@@ -77,7 +90,8 @@ def linked_groups(
         )
         return pin(confirm(both), "links")
 
-    links = confirmed(pairs)
+    links = confirmed(pairs, first)
+    drop_shuffles(nodes.sparkSession)
     parts = pin(components(links), "parts")
 
     placed = sql("select c.key, c.node, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
@@ -104,7 +118,8 @@ def linked_groups(
         "pairs",
     )
     if not rest.isEmpty():
-        more = confirmed(rest)
+        again = first if light else pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=rest)), "texts")
+        more = confirmed(rest, again)
         if not more.isEmpty():
             parts = pin(components(links.unionByName(more)), "parts")
     return parts
