@@ -75,12 +75,16 @@ def spearman(ranks: DataFrame, by) -> DataFrame:
     return sql(f"select {keys}, {_corr('rx', 'ry')} as spearman from {{ranks}} group by {keys}", ranks=ranks)
 
 
+#: Bits of a digit in ``kendall``: a point makes a row for each digit of its rank, with a count for each of its 16 values.
+DIGIT = 4
+
+
 def kendall(pairs: DataFrame, by) -> DataFrame:
     """Kendall's tau-b, exact, without comparing pairs of rows.
 
-    Pairs that fall in one order and rise in the other first differ in one bit of the dense rank of y.
-    So each point is counted once per bit under its higher bits: with x rising, every 0 bit meets the
-    1 bits seen before it."""
+    Pairs that fall in one order and rise in the other first differ in one digit of the dense rank of y. So each
+    point is counted once per digit (of DIGIT bits) under its higher digits: with x rising, every digit meets the larger
+    ones seen before it, of which one row keeps the counts."""
     keys = ", ".join(by)
     points = pin(
         sql(f"select {keys}, x, y, count(*) as n from {{pairs}} group by {keys}, x, y", pairs=pairs), "points"
@@ -88,25 +92,29 @@ def kendall(pairs: DataFrame, by) -> DataFrame:
     sizes = sql(f"select {keys}, y, sum(n) as n_rows from {{points}} group by {keys}, y", points=points)
     levels = Chunks(sizes, by, ["y"], "y-values").scan(sums={"place": "1L"}, totals={"n_levels": "1L"})
     placed = attach(points, levels, [*by, "y"], ["place", "n_levels"], "x")
+    counts = [f"sum(if(shiftright(place, {DIGIT} * level) & {(1 << DIGIT) - 1}L = {d}, n, 0L)) as n{d}" for d in range(1 << DIGIT)]
     split = sql(
         f"""
         with bits as (
           select {keys}, x, n, place - 1 as place,
-            explode(sequence(0, cast(floor(log2(n_levels - 0.5D)) as int))) as level
+            explode(sequence(0, cast(floor(log2(n_levels - 0.5D) / {DIGIT}) as int))) as level
           from {{placed}} where n_levels > 1
         )
-        select {keys}, level, shiftright(place, level + 1) as node, x,
-          sum(if(shiftright(place, level) & 1L = 1, n, 0)) as ones,
-          sum(if(shiftright(place, level) & 1L = 0, n, 0)) as zeros
-        from bits group by {keys}, level, shiftright(place, level + 1), x
+        select {keys}, level, shiftright(place, {DIGIT} * (level + 1)) as node, x, {", ".join(counts)}
+        from bits group by {keys}, level, shiftright(place, {DIGIT} * (level + 1)), x
         """,
         placed=placed,
     )
-    met = Chunks(split, [*by, "level", "node"], ["x"], "bits").scan(sums={"ones_upto": "ones"})
+    # what a digit meets: the larger ones of smaller x
+    met = Chunks(split, [*by, "level", "node"], ["x"], "digits").scan(sums={f"upto{d}": f"n{d}" for d in range(1, 1 << DIGIT)})
+    larger, terms = "", []
+    for d in range((1 << DIGIT) - 1, 0, -1):
+        larger = f"({larger}{' + ' if larger else ''}upto{d} - n{d})"
+        terms.append(f"cast(n{d - 1} as double) * {larger}")
     return sql(
         f"""
         with discordant as (
-          select {keys}, sum(cast(zeros as double) * (ones_upto - ones)) as n_dis from {{met}} group by {keys}
+          select {keys}, sum({" + ".join(terms)}) as n_dis from {{met}} group by {keys}
         ), x_ties as (
           select {keys}, sum(n * (n - 1) / 2) as t from (select {keys}, cast(sum(n) as double) as n
             from {{points}} group by {keys}, x) group by {keys}

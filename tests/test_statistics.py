@@ -299,3 +299,22 @@ def test_rare_flags_are_looked_up(spark, monkeypatch, most):
     sums = scan.Chunks(df, ["k"], ["at"]).scan(sums={"n": "if(f, 1, 0)"}).select("k", "at", "n").collect()
     assert sorted(map(repr, scan.marks_so_far(df, "f", ["k"], ["at"], "n").select("k", "at", "n").collect())) == sorted(map(repr, sums))
     assert "RangePartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lifetimes_by_bitmap_and_by_distinct_count(spark, monkeypatch):
+    """One exchange while numbers are small; the same table either way."""
+    rng = random.Random(12)
+    kinds = ["ADD", "FILL", "MODIFY", "CANCEL"]
+    rows = [(str(rng.randrange(60)), 0, "X", "S", "BID", rng.choice(kinds), rng.randrange(rng.choice([3, 70, 500])), i, 1.0, 1.0, 1.0, None) for i in range(900)]
+    rows += [("clean", 0, "X", "S", "BID", kinds[0] if i == 0 else "FILL", i, i, 1.0, 0.0, 1.0, None) for i in range(512)]
+    schema = "order_id string, session_id int, symbol string, source string, side string, event_type string, event_seq int, ts bigint, price double, size double, remaining_size double, reason string"
+    events = spark.createDataFrame(rows, schema)
+    short = lifetime.lifetimes(events)
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    monkeypatch.setattr(lifetime, "SEQ_BITS", 64)
+    longer = lifetime.lifetimes(events)
+    assert longer._jdf.queryExecution().executedPlan().toString().count("Exchange ") > 1
+    got = sorted(map(repr, short.collect()))
+    assert got == sorted(map(repr, longer.collect()))
+    bad = {r.order_id: r.anomalies for r in short.collect()}
+    assert bad["clean"] == "" and any("BAD_SEQ" in a for a in bad.values())
