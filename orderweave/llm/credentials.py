@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _IS_CANDIDATE = _table(_UPPER + _UPPER.lower() + _DIGIT + b"+/_.=-")
 #: Symbols of the automata: classes of characters, and how many characters each has.
 _CLASSES = [_DIGIT, b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"+/=", b"_-", b"."]
 _CLASS_OF = {c: i for i, cs in enumerate(_CLASSES) for c in cs}
+_CODES = np.array([_CLASS_OF.get(c, -1) for c in range(256)], np.int8)
 _END = len(_CLASSES)
 
 
@@ -99,15 +101,39 @@ def _scan(column: pa.Array) -> list[tuple[bytes, list, list]]:
     digits = np.concatenate(([0], np.cumsum(_IS_DIGIT[data], dtype=np.int32)))
     some = digits[ends] > digits[starts]
     starts, ends = starts[some], ends[some]
+    taken: dict[int, tuple[list[int], list[int]]] = {}  # the base spans of a row as separate stretches
     for s, e, r in zip(starts.tolist(), ends.tolist(), row_of(starts).tolist()):
         o = int(offsets[r])
-        if not any(s - o < b[2] and b[0] < e - o for b in rows[r][1]):
+        if r not in taken:
+            taken[r] = _stretches([(b[0], b[2]) for b in rows[r][1]])
+        opens, closes = taken[r]
+        before = bisect_left(opens, e - o) - 1
+        if before < 0 or closes[before] <= s - o:
             rows[r][2].append((s - o, e - o))
     for _, base, _ in rows:
         base.sort(key=lambda b: (b[0], KINDS.index(b[1])))
     return rows
 
 
+#: Characters of a string that automata are fitted on, and beyond which a string is scored by itself.
+LONG = 512
+#: Cells of a block of strings that are scored together.
+_CELLS = 1 << 20
+
+
+def _stretches(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Where the union of spans opens and closes, ascending."""
+    opens: list[int] = []
+    closes: list[int] = []
+    for s, e in sorted(spans):
+        if closes and s <= closes[-1]:
+            closes[-1] = max(closes[-1], e)
+        else:
+            opens.append(s)
+            closes.append(e)
+    return opens, closes
+
+
 class Automaton:
     """A probabilistic automaton over character classes, learned by merging compatible states of a prefix tree (ALERGIA).
 
@@ -192,13 +218,34 @@ class Automaton:
         del self.next, self.count
 
     def score(self, strings: list[bytes]) -> np.ndarray:
-        """log10 probability of each string, all of them a step at a time."""
-        sizes = np.array([len(s) for s in strings])
-        codes = np.full((len(strings), int(sizes.max()) + 1), -1)
-        for i, s in enumerate(strings):
-            codes[i, : len(s)] = [_CLASS_OF[c] for c in s]
-            codes[i, len(s)] = _END
-        state, total = np.zeros(len(strings), np.int64), np.zeros(len(strings))
+        """log10 probability of each string: those of like length a step at a time together, in blocks of bounded size, and
+        very long ones by themselves."""
+        total = np.zeros(len(strings))
+        sizes = np.array([len(s) for s in strings], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], LONG, "right"))
+        at = 0
+        while at < short:
+            to = at + 1
+            while to < short and (to + 1 - at) * (sizes[order[to]] + 1) <= _CELLS:
+                to += 1
+            some = order[at:to]
+            codes = np.full((len(some), int(sizes[some[-1]]) + 1), -1, np.int8)
+            for i, j in enumerate(some):
+                codes[i, : sizes[j]] = _CODES[np.frombuffer(strings[j], np.uint8)]
+                codes[i, sizes[j]] = _END
+            total[some] = self._steps(codes)
+            at = to
+        for j in order[short:].tolist():
+            log, to_, state, sum_ = self.log.tolist(), self.to.tolist(), 0, 0.0
+            for c in _CODES[np.frombuffer(strings[j], np.uint8)].tolist():
+                sum_ += log[state][c]
+                state = to_[state][c]
+            total[j] = sum_ + log[state][_END]
+        return total
+
+    def _steps(self, codes: np.ndarray) -> np.ndarray:
+        state, total = np.zeros(len(codes), np.int64), np.zeros(len(codes))
         for column in codes.T:
             on = column >= 0
             total[on] += self.log[state[on], column[on]]
@@ -230,7 +277,12 @@ _FOUND += "labels array<struct<kind: string, value: string>>, other array<struct
 def _code_points(text: bytes, places: list[int]) -> dict[int, int]:
     if text.isascii():
         return {p: p for p in places}
-    return {p: len(text[:p].decode("utf-8", "ignore")) for p in set(places)}
+    opens = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # bytes that begin a code point
+    at, before, done = {}, 0, 0
+    for p in sorted(set(places)):
+        before, done = before + int(np.count_nonzero(opens[done:p])), p
+        at[p] = before
+    return at
 
 
 def _found(batches):
@@ -260,11 +312,12 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame) -> Formats:
-    """Automata from the distinct strings of ``found`` rows: of each class the TRAINING_STRINGS with the smallest hash."""
+    """Automata from the distinct strings of ``found`` rows, cut to LONG characters: of each class the TRAINING_STRINGS with
+    the smallest hash."""
     strings = sql(
         """select distinct kind, value from (
-             select inline(labels) from {r}
-             union all select 'other', o.value from (select explode(other) as o from {r}))""",
+             select l.kind, left(l.value, {n}) as value from (select explode(labels) as l from {r})
+             union all select 'other', left(o.value, {n}) from (select explode(other) as o from {r}))""".replace("{n}", str(LONG)),
         r=rows,
     )
     strings = pin(strings, "labelled")
@@ -284,7 +337,8 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     Base spans are the matches of the three known patterns. ``spans`` adds those of kind ``learned``: candidates
     outside of base spans (12 or more credential characters, a digit among them) whose format is that of the labelled
-    credentials. Null and empty texts have none. Both are ordered by start, then kind."""
+    credentials. Null and empty texts have none. Both are ordered by start, then kind. Strings of any length are scored
+    whole; automata are fitted on the first LONG characters of a string."""
     configure(docs.sparkSession)
     rows = pin(found(docs), "found")
     formats = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learn(rows)))

@@ -378,3 +378,54 @@ def test_components(spark, monkeypatch, one_task):
     real = [(a, b) for a, b in pairs if a is not None and a != b]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == brute.classes({x for p in real for x in p}, real)
+
+
+# 6, learned formats ----------------------------------------------------------------------------------------------
+
+
+def test_learned_spans_against_string_by_string(spark):
+    from orderweave.llm import credentials as c
+
+    rng = random.Random(5)
+
+    def token():
+        return "".join(rng.choices("ghijk", k=5)) + "-" + "".join(rng.choices("0123456789", k=6)) + "-" + "".join(rng.choices("WXYZ", k=5))
+
+    words = [f"w{i}" for i in range(50)]
+    texts = [f"{' '.join(rng.choices(words, k=9))} password={token()} é {token() if i % 40 == 0 else ''} path/to/file-{i}.version2.html" for i in range(120)]
+    texts += [token() * 30 + "ZZ", "a1" * 200_000 + " token: abcdefghij1234567", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    formats = c.learn(c.found(docs))
+
+    def margin(s):
+        likely = {k: float(a._steps(np.array([[*(c._CLASS_OF[x] for x in s), c._END]], np.int8))[0]) for k, a in (*formats.kinds.items(), ("other", formats.other))}
+        best = max(v for k, v in likely.items() if k != "other")
+        return (best - max(likely["other"], -(len(s) + 1) * math.log10(69))) / (len(s) + 1)
+
+    learned = 0
+    for r in c.secrets(docs).collect():
+        text = texts[r.doc_id] or ""
+        base = [(s.start, s.end) for s in r.base]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_.=-]{12,}", text, re.A):
+            apart = all(m.end() <= s or e <= m.start() for s, e in base)
+            if apart and any(x.isdigit() for x in m[0]) and margin(m[0].encode()) >= c.MARGIN:
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in r.spans if s.kind == "learned"] == want
+        learned += len(want)
+    assert learned
+
+
+def test_long_candidates_in_bounded_memory():
+    import tracemalloc
+
+    from orderweave.llm import credentials as c
+
+    rng = random.Random(1)
+    strings = [bytes(rng.choices(b"abcdef0123456789XYZ-_.", k=rng.randrange(12, 60))) for _ in range(10_000)]
+    automaton = c.Automaton(strings[:300])
+    tracemalloc.start()
+    got = automaton.score([*strings, b"a1" * 500_000])
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and np.isfinite(got).all()
+    tracemalloc.stop()
+    assert c._stretches([(5, 9), (0, 3), (3, 4), (6, 7)]) == ([0, 5], [4, 9])
