@@ -46,15 +46,15 @@ def linked_groups(
         for c in payload:
             leaders += [f"min_by({c}, node) as lo_{c}", f"max_by({c}, node) as hi_{c}", f"min_by({c}, xxhash64(node)) as mid_{c}"]
         buckets = pin(sql(f"select key, count(*) as n, {', '.join(leaders)} from {{f}} group by key", f=found), "buckets")
-        crowd = pin(sql("select f.*, b.* except (key) from {f} f join {b} b on f.key = b.key", f=found, b=buckets), "crowd")
+        led = sql("select f.*, b.* except (key) from {f} f join {b} b on f.key = b.key", f=found, b=buckets)
         three = ", ".join(f"named_struct('node', {x}{''.join(f', {c!r}, {x}_{c}' for c in payload)})" for x in ("lo", "hi", "mid"))
         pairs = sql(
             f"""select distinct least(x.node, y.node) as a, greatest(x.node, y.node) as b
                 from (select explode(array({three})) as x, struct({", ".join(["node", *payload])}) as y from {{c}})
                 where x.node <> y.node and {likely("x", "y")}""",
-            c=crowd,
+            c=led,
         )
-        crowd = crowd.where("n > 3")
+        crowd = sql("select f.key, f.node, b.lo, b.hi, b.mid from {f} f join {b} b on f.key = b.key where b.n > 3", f=found, b=buckets)
     else:
         buckets = pin(sql(f"select key, count(*) as n, {', '.join(leaders)} from {{m}} group by key having count(*) > 1", m=members), "buckets")
         large = sql("select key, lo, hi, mid from {b} where n > 2", b=buckets)
