@@ -37,7 +37,7 @@ def linked_groups(
 
     With ``light``, for a small payload and many keys, the keys that occur once go before anything else is carried along, and
     the payload of members and leaders comes with them, so that pairs are sifted where they arise."""
-    members = nodes.selectExpr("node", "explode(keys) as key")
+    members = nodes.selectExpr("node", "explode(keys) as key" if light else "posexplode(keys) as (band, key)")
     leaders = ["min(node) as lo", "max(node) as hi", "min_by(node, xxhash64(node)) as mid"]
     if light:
         shared = pin(sql("select key from {m} group by key having count(*) > 1", m=members), "shared")
@@ -54,7 +54,7 @@ def linked_groups(
                 where x.node <> y.node and {likely("x", "y")}""",
             c=led,
         )
-        crowd = sql("select f.key, f.node, b.lo, b.hi, b.mid from {f} f join {b} b on f.key = b.key where b.n > 3", f=found, b=buckets)
+        crowd = sql("select f.key, 0 as band, f.node, b.lo, b.hi, b.mid from {f} f join {b} b on f.key = b.key where b.n > 3", f=found, b=buckets)
     else:
         buckets = pin(sql(f"select key, count(*) as n, {', '.join(leaders)} from {{m}} group by key having count(*) > 1", m=members), "buckets")
         large = sql("select key, lo, hi, mid from {b} where n > 2", b=buckets)
@@ -94,13 +94,13 @@ def linked_groups(
     drop_shuffles(nodes.sparkSession)
     parts = pin(components(links), "parts")
 
-    placed = sql("select c.key, c.node, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
+    placed = sql("select c.key, c.band, c.node, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
     placed = pin(placed, "placed")
     split = pin(sql("select key from {p} group by key having min(part) <> max(part)", p=placed), "split")
     columns = ", ".join(f"r.{c}" for c in payload)
     apart = pin(
         sql(
-            f"""select p.key, p.part, r.node, {columns}
+            f"""select p.key, p.band, p.part, r.node, r.keys, {columns}
                 from {{p}} p left semi join {{s}} s on p.key = s.key join {{r}} r on p.node = r.node
                 where p.node not in (p.lo, p.hi, p.mid)""",
             p=placed,
@@ -109,17 +109,19 @@ def linked_groups(
         ),
         "apart",
     )
+    # a pair comes from the first bucket that it shares; with many keys it is cheaper to take it once afterwards
+    again = "" if light else " and not arrays_overlap(slice(a.keys, 1, a.band), slice(b.keys, 1, b.band))"
     rest = pin(
         sql(
-            f"""select distinct a.node as a, b.node as b from {{apart}} a join {{apart}} b
-                on a.key = b.key and a.part <> b.part and a.node < b.node and {likely("a", "b")}""",
+            f"""select {"distinct" if light else ""} a.node as a, b.node as b from {{apart}} a join {{apart}} b
+                on a.key = b.key and a.part <> b.part and a.node < b.node and {likely("a", "b")}{again}""",
             apart=apart,
         ),
         "pairs",
     )
     if not rest.isEmpty():
-        again = first if light else pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=rest)), "texts")
-        more = confirmed(rest, again)
+        texts_again = first if light else pin(texts(sql("select distinct explode(array(a, b)) as node from {p}", p=rest)), "texts")
+        more = confirmed(rest, texts_again)
         if not more.isEmpty():
             parts = pin(components(links.unionByName(more)), "parts")
     return parts
