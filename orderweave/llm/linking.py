@@ -73,7 +73,8 @@ def linked_groups(
             nodes=nodes,
         )
     pairs = pin(pairs, "pairs")
-    drop_shuffles(nodes.sparkSession)
+    if light:
+        drop_shuffles(nodes.sparkSession)
 
     wanted = sql("select explode(array(a, b)) as node from {p}", p=pairs)
     if light:
@@ -91,7 +92,8 @@ def linked_groups(
         return pin(confirm(both), "links")
 
     links = confirmed(pairs, first)
-    drop_shuffles(nodes.sparkSession)
+    if light:
+        drop_shuffles(nodes.sparkSession)
     parts = pin(components(links), "parts")
 
     placed = sql("select c.key, c.band, c.node, c.lo, c.hi, c.mid, coalesce(p.component, c.node) as part from {c} c left join {p} p on c.node = p.node", c=crowd, p=parts)
