@@ -83,6 +83,18 @@ def test_recall_of_lines_that_differ_in_one_word(spark, words, least):
     assert dropped <= want and len(dropped) >= least * len(want)
 
 
+def test_links_of_lines_do_not_follow_the_number_of_documents(spark):
+    from orderweave.llm.fuzzy_lines import repeated_lines
+
+    rng = random.Random(5)
+    lines = [" ".join(f"{rng.choice('aeiouy')}{rng.randrange(10**rng.randrange(1, 7))}{rng.choice('xyz')}" for _ in range(8)) for _ in range(400)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, one_edit(rng, x)) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    others = spark.range(10_000, 210_000).selectExpr("id as doc_id", "'' as text")
+    alone, among = ({r.doc_id for r in repeated_lines(d).collect() if r.dropped} for d in (docs, docs.union(others)))
+    assert alone and alone == among
+
+
 def test_majorities_of_groups_of_any_size():
     from orderweave.llm.fuzzy_lines import _majorities
 
