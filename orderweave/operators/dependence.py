@@ -15,7 +15,8 @@ _BLOCK = 50_000
 def rolling_fill_rate(orders: DataFrame, by, window: int = 500, min_rows: int = 50) -> DataFrame:
     """Centred moving share of filled orders in time order; null below ``min_rows`` rows.
 
-    Numbered rows are cut into blocks, and each block borrows the few rows it needs from its neighbours."""
+    Numbered rows are cut into blocks, and each block borrows the few rows it needs from its neighbours. What lies in a
+    row's window is the difference of two running counts, so the cost of a row does not follow ``window``."""
     keys = ", ".join(by)
     back, ahead = window // 2, window - window // 2 - 1
     assert _BLOCK > window
@@ -29,9 +30,20 @@ def rolling_fill_rate(orders: DataFrame, by, window: int = 500, min_rows: int =
               if(place < {ahead}, home - 1, null), if(place >= {_BLOCK} - {back}, home + 1, null)),
             b -> b is not null)) as block
           from homes
+        ), counted as (
+          select *, coalesce(sum(filled) over so_far, 0) as filled_so_far, count(filled) over so_far as seen_so_far from shared
+          window so_far as (partition by {keys}, block order by row_no rows between unbounded preceding and current row)
+        ), edges as (
+          select *, struct(filled_so_far as filled, seen_so_far as seen) as upto,
+            last(struct(filled_so_far as filled, seen_so_far as seen)) over (partition by {keys}, block order by row_no
+              rows between unbounded preceding and unbounded following) as whole from counted
+        ), spans as (
+          select *, lead(upto, {ahead}, null) over in_order as high, lag(upto, {back} + 1, null) over in_order as low from edges
+          window in_order as (partition by {keys}, block order by row_no)
         ), averaged as (
-          select *, avg(filled) over near as rate, count(filled) over near as seen from shared
-          window near as (partition by {keys}, block order by row_no rows between {back} preceding and {ahead} following)
+          select *, coalesce(high.seen, whole.seen) - coalesce(low.seen, 0) as seen,
+            (coalesce(high.filled, whole.filled) - coalesce(low.filled, 0)) / nullif(coalesce(high.seen, whole.seen) - coalesce(low.seen, 0), 0) as rate
+          from spans
         )
         select {keys}, row_no, ts, order_id, session_id, price, size, filled, abs_dist,
           if(seen >= {min_rows}, rate, null) as fill_prob

@@ -93,7 +93,9 @@ def sessionize_s(rows: DataFrame) -> DataFrame:
     """Number the book sessions: each run of SNAPSHOT rows in file order opens one. Rows are pinned."""
     rows, flag, order = pin(rows, "effective"), "raw_type = 'SNAPSHOT'", ["ts", "line_no"]
     numbered = run_numbers(rows, flag, ["file_id"], order, "opens", "session_id")
-    return pin(Chunks(rows, ["file_id"], order, "sessions").runs(flag, "opens", "session_id"), "sessioned") if numbered is None else numbered
+    if numbered is None:
+        numbered = Chunks(rows, ["file_id"], order, "sessions").runs(flag, "opens", "session_id")
+    return pin(numbered, "sessioned")
 
 
 def _operations_s(rows: DataFrame) -> DataFrame:
@@ -138,8 +140,8 @@ def sessionize_q(rows: DataFrame) -> DataFrame:
     numbered = marks_so_far(rows, "opens", ["file_id"], _Q_ORDER, "session_id")
     if numbered is None:
         chunks = Chunks(rows, ["file_id"], _Q_ORDER, "sessions")
-        numbered = pin(chunks.scan(sums={"_opened": "cast(opens as int)"}).selectExpr("*", "cast(_opened as int) as session_id"), "sessioned")
-    return numbered
+        numbered = chunks.scan(sums={"_opened": "cast(opens as int)"}).selectExpr("*", "cast(_opened as int) as session_id")
+    return pin(numbered, "sessioned")
 
 
 def _operations_q(rows: DataFrame) -> DataFrame:
@@ -445,7 +447,8 @@ def _replay(sessioned: DataFrame, ops: DataFrame, order: list[str], style: str,
 
     live = "state.live" + (" and not coalesce(state.remaining <= 0, false)" if drop_filled else "")
     reset, still_open = f"{live} and boundary is not null", f"{live} and boundary is null"
-    closed = with_ends(_fold_short(narrow, order, style))
+    # events and open orders come from one fold
+    closed = pin(with_ends(_fold_short(narrow, order, style)), "folded")
     events = closed.selectExpr(*_ORDER_KEY, f"inline(if({reset}, concat(out, {_RESET}), out))")
     open_orders = closed.where(still_open).select(*_ORDER_KEY, "state")
     if any_long:

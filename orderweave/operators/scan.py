@@ -19,8 +19,9 @@ CHUNK = "_chunk"
 # At most this many groups are broadcast; any other group holds less than 1/HOT_GROUPS of the rows.
 HOT_GROUPS = 2000
 HOT_ROWS = 10_000
-#: So many marked rows are sent to every task and looked up there; more are counted by a scan in ranges.
-MOST_MARKS = 20_000
+#: So many marked rows are sent to every task and looked up there; more are counted by a scan in ranges. Every row that is
+#: looked up carries the marks of its key along, so their number must be a small constant.
+MOST_MARKS = 500
 
 
 class Chunks:

@@ -304,3 +304,22 @@ def test_the_number_of_jobs_does_not_follow_the_longest_history(spark, monkeypat
             spark.sparkContext.setJobGroup("", "")
 
     assert jobs(4000) <= jobs(400) + 12
+
+
+def test_sessions_of_many_marks_carry_no_lists_of_marks(spark):
+    rows = [("f", i, "SNAPSHOT" if i % 4 == 0 else "ADD") for i in range(4000)]
+    df = spark.createDataFrame(rows, "file_id string, line_no long, raw_type string").selectExpr("*", "line_no div 7 as ts")
+    assert scan.run_numbers(df, "raw_type = 'SNAPSHOT'", ["file_id"], ["ts", "line_no"], "opens", "session_id") is None
+    assert {(r.line_no, r.session_id, r.opens) for r in replay.sessionize_s(df).collect()} == {(i, i // 4 + 1, i % 4 == 0) for i in range(4000)}
+
+
+def test_sessions_and_folds_are_worked_out_once(spark):
+    rows = [("f", i, i, "S", f"o{i % 9}", "BID", 10.0, 2.0, "SNAPSHOT" if i % 50 == 0 else "ADD", None, None) for i in range(1, 200)]
+    df = spark.createDataFrame(
+        rows, "file_id string, line_no long, ts long, symbol string, order_id string, side string, price double, size double, raw_type string, new_size double, new_price double"
+    )
+    events, still_open = replay.replay_s(df)
+    for part in (events, still_open, replay.sessionize_s(replay.effective_rows_s(df))):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
+    assert events.count() and still_open.count()

@@ -318,3 +318,22 @@ def test_lifetimes_by_bitmap_and_by_distinct_count(spark, monkeypatch):
     assert got == sorted(map(repr, longer.collect()))
     bad = {r.order_id: r.anomalies for r in short.collect()}
     assert bad["clean"] == "" and any("BAD_SEQ" in a for a in bad.values())
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 30])
+def test_rolling_rate_by_running_counts(spark, monkeypatch, window):
+    monkeypatch.setattr(dep, "_BLOCK", 40)
+    rng = random.Random(window)
+    rows = [("a" if i % 3 else None, i, "o", 0, 1.0, 1.0, rng.choice([0, 1, 1, None]), 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, order_id string, session_id int, price double, size double, filled int, abs_dist double")
+    got = dep.rolling_fill_rate(df, ["symbol"], window, 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # frames that slide go through the whole window again for each row
+    assert not any(f"specifiedwindowframe(RowFrame, -{n}, {m})" in plan for n in range(1, 40) for m in range(40))
+    want = {}
+    for symbol in ("a", None):
+        mine = [r for r in rows if r[0] == symbol]
+        for i, r in enumerate(mine):
+            near = [x[6] for x in mine[max(0, i - window // 2) : i + window - window // 2] if x[6] is not None]
+            want[symbol, r[1]] = sum(near) / len(near) if near else None
+    assert {(r.symbol, r.ts): r.fill_prob for r in got.collect()} == want
