@@ -30,6 +30,7 @@ SLICE_BYTES = 4 << 20
 _ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-įı-ɏ]")
 # fixed values: the split rule and the special tokens of this kind of vocabulary
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_MARKS = frozenset(".,;:!?")
 _SPECIALS = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 _SPECIAL = re.compile("|".join(map(re.escape, _SPECIALS)))
 
@@ -144,7 +145,8 @@ class Encoder:
     def _fill(self, missing: set[str]) -> None:
         """Enter words: those of letters only as they are, others by their parts."""
         whole = [w for w in missing if w.isalpha()]
-        mixed = {w: _SPLIT.findall(w) for w in missing if not w.isalpha()}
+        # letters and one mark after them, the most frequent kind, need no pattern
+        mixed = {w: [w[:-1], w[-1]] if w[-1] in _MARKS and w[:-1].isalpha() else _SPLIT.findall(w) for w in missing if not w.isalpha()}
         rest = list(set().union(*mixed.values()).difference(whole, self.words, self.parts)) if mixed else []
         if whole or rest:
             ids = self.merge([p.encode("utf-8", "surrogatepass") for p in whole + rest])
@@ -192,6 +194,10 @@ class Encoder:
             done[i] = b"".join(map(word, found))
         return [done.get(i, b"") for i in range(len(texts))]
 
+    def forget(self) -> None:
+        """Give back the memory of kept words."""
+        self.words, self.older, self.parts, self.size = {}, {}, {}, 0
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as the library gives it for a vocabulary without a decoder: tokens joined by spaces."""
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))

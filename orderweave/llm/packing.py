@@ -19,7 +19,7 @@ OPEN = 64
 #: Partitions whose last, part-filled windows are merged in one step.
 MERGED = 64
 END = 2
-#: Memory of a worker for words it has encoded: a million of them, as nothing else here needs much.
+#: Memory of a worker for words it has encoded in a task: a million of them, as nothing else here needs much.
 KEPT_BYTES = 320 << 20
 
 _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -135,6 +135,8 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for doc_id, ids in zip(slice_.column("doc_id").to_pylist(), coder.encode(slice_.column("text").to_pylist())):
                     packer.add(doc_id, 0, len(ids) // 4 + 1, ids + end)
                 yield packer.batch(part)
+        # the worker lives on, beside those of other steps
+        coder.forget()
         yield packer.batch(part, packer.close())
 
     def merge(level: int, last: bool):
