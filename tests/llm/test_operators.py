@@ -83,6 +83,27 @@ def test_recall_of_lines_that_differ_in_one_word(spark, words, least):
     assert dropped <= want and len(dropped) >= least * len(want)
 
 
+def test_few_blocks_find_short_lines_and_lines_with_two_edits():
+    import pyarrow as pa
+
+    from orderweave.llm import fuzzy_lines
+    from orderweave.llm.words import Words
+
+    def met(words, edits):
+        rng, pairs = random.Random(words), []
+        for _ in range(500):
+            a = b = " ".join(f"{rng.choice('aeiouy')}{rng.randrange(10**rng.randrange(1, 7))}{rng.choice('xyz')}" for _ in range(words))
+            for _ in range(edits):
+                b = one_edit(rng, b)
+            pairs += [a, b]
+        codes = fuzzy_lines._hashed(Words(pa.array(pairs)))[4].to_pylist()
+        return sum(any(x == y for x, y in zip(*codes[i : i + 2])) for i in range(0, 1000, 2)) / 500
+
+    assert met(6, 1) >= 0.75 and met(20, 2) >= 0.7 and met(40, 3) >= 0.65
+    # strangers of this kind have no block in common, and long lines have few
+    assert fuzzy_lines.MOST_BLOCKS <= 16 and fuzzy_lines._N_BLOCKS[33] <= 4
+
+
 def test_links_of_lines_do_not_follow_the_number_of_documents(spark):
     from orderweave.llm.fuzzy_lines import repeated_lines
 
