@@ -422,20 +422,28 @@ _RESET = """array(named_struct('symbol', boundary.symbol, 'side', state.side, 'e
 
 def _replay(sessioned: DataFrame, ops: DataFrame, order: list[str], style: str, source: str, drop_filled: bool):
     """(events, open orders) from sessionised rows and the fold operations among them."""
+    sizes = pin(sql("select file_id, session_id, count(*) as n_rows from {rows} group by file_id, session_id", rows=sessioned), "session-sizes")
     # the boundary that ends session n opens session n + 1
     ends = sql(
         """
-        with sessions as (select file_id, session_id, count(*) as n_rows from {rows} group by file_id, session_id),
-        opened as (select file_id, session_id - 1 as session_id, struct(ts, symbol) as boundary from {rows} where opens)
-        select file_id, session_id, n_rows, boundary from sessions join opened using (file_id, session_id)
+        with opened as (select file_id, session_id - 1 as session_id, struct(ts, symbol) as boundary from {rows} where opens)
+        select file_id, session_id, n_rows, boundary from {sizes} join opened using (file_id, session_id)
         """,
         rows=sessioned,
+        sizes=sizes,
     )
     extra = [c if c in ops.columns else f"cast(null as double) as {c}" for c in ("new_size", "new_price")]
     narrow = ops.selectExpr(*_ORDER_KEY, *order, "op", "symbol", "side", "price", "size", *extra)
 
-    lengths = narrow.groupBy(*_ORDER_KEY).count().where(f"count > {FOLD_ROWS}")
-    lengths = pin(lengths.selectExpr(*_ORDER_KEY, "count as n_rows", "true as long"), "long-order-keys")
+    # a long history is one in a long session
+    lengths = sql(
+        f"""select {", ".join(f"o.{c}" for c in _ORDER_KEY)}, count(*) as n_rows, true as long
+            from {{ops}} o left semi join (select * from {{sizes}} where n_rows > {FOLD_ROWS}) s on o.file_id <=> s.file_id and o.session_id <=> s.session_id
+            group by {", ".join(f"o.{c}" for c in _ORDER_KEY)} having count(*) > {FOLD_ROWS}""",
+        ops=narrow,
+        sizes=sizes,
+    )
+    lengths = pin(lengths, "long-order-keys")
     any_long = not lengths.isEmpty()
     if any_long:
         marked = attach(narrow, lengths, _ORDER_KEY, ["long"], ", ".join(order))

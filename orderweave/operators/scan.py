@@ -9,6 +9,7 @@ chunk totals (one row per key and chunk).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +20,8 @@ CHUNK = "_chunk"
 # At most this many groups are broadcast; any other group holds less than 1/HOT_GROUPS of the rows.
 HOT_GROUPS = 2000
 HOT_ROWS = 10_000
+#: Rows, one after another in the order of a scan, whose marks are looked up together.
+BLOCK_ROWS = 1024
 #: So many marked rows are sent to every task and looked up there; more are counted by a scan in ranges. Every row that is
 #: looked up carries the marks of its key along, so their number must be a small constant.
 MOST_MARKS = 500
@@ -31,12 +34,18 @@ class Chunks:
         configure(df.sparkSession)
         self.keys, self.order = list(keys), list(order)
         chunks = df.sparkSession.conf.get(CHUNKS_CONF, None)
-        columns = [*self.keys, *self.order]
-        ranged = df.repartitionByRange(int(chunks), *columns) if chunks else df.repartitionByRange(*columns)
-        # the chunk number is only stable once the ranges are written down
-        self.frame = pin(ranged.selectExpr("*", f"spark_partition_id() as {CHUNK}"), tag)
-        last = self.frame.selectExpr(f"max({CHUNK}) as last").first()["last"]
-        self.single = not last  # everything fits one chunk: plain windows do
+        self._columns, self._tag = [*self.keys, *self.order], tag
+        self._ranged = df.repartitionByRange(int(chunks), *self._columns) if chunks else df.repartitionByRange(*self._columns)
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        """The rows with their chunk, whose number is only stable once the ranges are written down."""
+        return pin(self._ranged.selectExpr("*", f"spark_partition_id() as {CHUNK}"), self._tag)
+
+    @cached_property
+    def single(self) -> bool:
+        """Everything fits one chunk: plain windows do."""
+        return not self.frame.selectExpr(f"max({CHUNK}) as last").first()["last"]
 
     def _windows(self) -> str:
         """``in_order`` and ``so_far``: the rows of a key inside one chunk."""
@@ -115,39 +124,55 @@ class Chunks:
             rows=rows,
         )
 
-
     def runs(self, flag: str, opens: str, number: str) -> DataFrame:
         """Mark the first row of every maximal run of ``flag`` rows (``opens``) and number the runs so far
-        (``number``)."""
+        (``number``).
+
+        The rows are written down in order and numbered, so that a row's number tells what stands next to it: only the flagged
+        rows and one row per block of BLOCK_ROWS numbers are sorted again, and a row finds its run among the few of its block."""
         keys = ", ".join(self.keys)
-        kept = ", ".join(f"s.`{c}`" for c in self.frame.columns)
-        return sql(
+        placed = pin(self._ranged.sortWithinPartitions(*self._columns).selectExpr("*", "monotonically_increasing_id() as _at"), self._tag)
+        block = f"_at div {BLOCK_ROWS}"
+
+        def same(a: str, b: str, b_block: str = "_block") -> str:
+            return " and ".join([*[f"{a}.{k} <=> {b}.{k}" for k in self.keys], f"{a}.{b_block} = {b}._block"])
+
+        blocks = sql(
             f"""
-            with flagged as (
-              select *, coalesce({flag}, false) as _flag from {{rows}}
-            ), stepped as (
-              select *, row_number() over in_order as _row,
-                _flag and not coalesce(lag(_flag) over in_order, true) as _inner from flagged
-              window {self._windows()}
-            ), counted as (
-              select *, sum(if(_inner, 1, 0)) over so_far as _local from stepped window {self._windows()}
-            ), tails as (
-              select {keys}, {CHUNK}, sum(if(_inner, 1, 0)) as _runs,
-                min_by(_flag, _row) as _head, max_by(_flag, _row) as _tail
-              from stepped group by {keys}, {CHUNK}
-            ), heads as (
-              select *, _head and not coalesce(lag(_tail) over (partition by {keys} order by {CHUNK}), false) as _opens
-              from tails
-            ), carry as (
-              select {keys}, {CHUNK}, _opens, coalesce(sum(_runs + if(_opens, 1, 0)) over (partition by {keys}
-                order by {CHUNK} rows between unbounded preceding and 1 preceding), 0) as _before
-              from heads
+            with counted as (
+              select {keys}, {block} as _block, min(_at) as _first, max(_at) as _last, max(if({flag}, _at, null)) as _mark
+              from {{rows}} group by {keys}, {block}
             )
-            select {kept}, if(_row = 1, _opens, _inner) as {opens},
-              cast(_before + _local + if(_opens, 1, 0) as int) as {number}
-            from counted s join carry c on {self._same("s", "c")}
+            select {keys}, _block, _first, _mark is not null as _marked,
+              coalesce(lag(_mark = _last) over (partition by {keys} order by _block), false) as _follows from counted
             """,
-            rows=self.frame,
+            rows=placed,
+        )
+        blocks = pin(blocks, "blocks")
+        found = sql(
+            f"""
+            with marks as (select {keys}, {block} as _block, _at from {{rows}} where {flag}),
+            stepped as (select *, lag(_at) over (partition by {keys}, _block order by _at) as _before from marks),
+            opened as (
+              select {", ".join(f"s.{k}" for k in self.keys)}, s._block, array_sort(collect_list(s._at)) as _opened
+              from stepped s join {{blocks}} b on {same("s", "b")} and b._marked
+              where coalesce(s._before < s._at - 1, s._at > b._first or not b._follows) group by {", ".join(f"s.{k}" for k in self.keys)}, s._block
+            )
+            select {", ".join(f"b.{k}" for k in self.keys)}, b._block, _opened, coalesce(sum(size(_opened)) over (partition by {", ".join(f"b.{k}" for k in self.keys)}
+              order by b._block rows between unbounded preceding and 1 preceding), 0) as _runs
+            from {{blocks}} b left join opened o on {same("b", "o")}
+            """,
+            rows=placed,
+            blocks=blocks,
+        )
+        found = pin(found, "runs")
+        kept = ", ".join(f"d.`{c}`" for c in placed.columns if c not in ("_at", "_in"))
+        return sql(
+            f"""select {kept}, coalesce(array_contains(f._opened, d._at), false) as {opens},
+                  cast(f._runs + if(f._opened is null, 0, size(filter(f._opened, x -> x <= d._at))) as int) as {number}
+                from (select *, {block} as _in from {{rows}}) d join {{found}} f on {same("d", "f", "_in")}""",
+            rows=placed,
+            found=found,
         )
 
 

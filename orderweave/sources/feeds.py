@@ -185,8 +185,8 @@ def _matching(reader, glob: str | None):
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-# a file may be written in parts below a directory that carries its name
-_FILE_ID = "regexp_extract({}, '([^/=]+[.]csv)(?:/part-[^/]*)?$', 1)"
+# a file may be written in parts below a directory that carries its name; the folders above would be searched at every sign
+_FILE_ID = "regexp_extract(substring_index({}, '/', -2), '([^/=]+[.]csv)(?:/part-[^/]*)?$', 1)"
 
 
 def _names(header: str, separator: str) -> tuple[str, ...]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderweave.session import configure
+from orderweave.session import configure, pin
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,13 @@ _LATE = "hour(ts) >= 20 and event_id % 7 = 0"
 
 def raw_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of style-S files; ``file`` is the name of the file a row belongs to."""
-    return read(spark, sf_dir, "events").selectExpr(
+    return read(spark, sf_dir, "events").selectExpr("*", "date_format(ts, 'HH:mm:ss.SSSSSS') as clock").selectExpr(
         f"""case when user_id % 3 = 2 and dayofmonth(ts) = 5 then 'nosymbol.csv' else
             concat(date_format(date_add(cast(ts as date), if({_LATE}, 1, 0)), 'yyyyMMdd'),
                    '_SYM', cast(user_id % 3 as string), '.csv') end as file""",
         "event_id",
-        f"if({_BAD_CLOCK}, 'noon', concat(date_format(ts, 'HH:mm:ss.SSSSSS'), '7')) as time_exchange",
-        f"if({_LATE}, '00:00:01.000000', date_format(ts, 'HH:mm:ss.SSSSSS')) as time_coinapi",
+        f"if({_BAD_CLOCK}, 'noon', concat(clock, '7')) as time_exchange",
+        f"if({_LATE}, '00:00:01.000000', clock) as time_coinapi",
         "cast(user_id as string) as order_id",
         "if(event_id % 113 = 0, '9', cast((user_id + 1) % 2 as string)) as is_buy",
         f"if(event_id % 59 = 0, 'n/a', {_DECIMAL}) as entry_px",
@@ -127,6 +127,7 @@ def write_raw_s(rows: DataFrame, path: str) -> str:
     """Style-S rows as files whose columns stand in three orders, some with one more, some with one less, a file without
     a column that is required, and one with a header only."""
     named = [c for c in rows.columns if c not in ("file", "event_id")]
+    rows = pin(rows, "raw")  # each layout is ranged, that is read twice
     layouts = [
         ("file like '%SYM0.csv'", named),
         ("file like '%SYM1.csv'", ["'X' as venue", *named[::-1]]),

@@ -1,6 +1,7 @@
 """Feed files, Stage A, the event store, the directory pipeline and the stream."""
 
 import datetime
+import time
 
 import pytest
 
@@ -402,3 +403,17 @@ def test_runs_leave_no_scratch_behind(spark, tmp_path):
     ingest(spark, str(folder), "coinbase", root, str(tmp_path / "offsets"), files_per_batch=1).awaitTermination()
     assert len(stored(spark, root)) == 5
     assert set(glob.glob(f"{_own_dir(spark)}/*")) == before
+
+
+def test_the_folders_above_a_file_cost_nothing(spark):
+    """The name of a file is looked for in the end of its path, not at every sign of it."""
+    ends = {
+        "x.csv": "x.csv", "x.csv/part-0.csv": "x.csv", "file=x.csv/part-0-c000.csv": "x.csv", "x.csv/y.csv": "y.csv",
+        "a=x.csv": "x.csv", "x.csv/part-0/y.csv": "y.csv", "x.csv/part-0": "x.csv", "x.csv/y": "", ".csv": "", "x.csv/part-": "x.csv",
+    }
+    df = spark.createDataFrame([(end,) for end in ends], "end string").crossJoin(spark.range(0, 3000, 1, 8))
+    df = df.selectExpr("end", "concat('file:/', repeat(concat(repeat('d', 240), '/'), 40), id, '/', end) as path").repartition(8).localCheckpoint()
+    began = time.monotonic()
+    got = df.selectExpr("end", f"{feeds._FILE_ID.format('path')} as id").distinct().collect()
+    assert time.monotonic() - began < 6
+    assert {r.end: r.id for r in got} == ends

@@ -323,3 +323,26 @@ def test_sessions_and_folds_are_worked_out_once(spark):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan and "Join" not in plan
     assert events.count() and still_open.count()
+
+
+def test_runs_are_numbered_without_sorting_the_rows_again(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 8, raising=False)
+    rng = random.Random(5)
+    rows = [(k, i, rng.random() < share, None) for k, share in ((None, 0.5), (1, 0.95), (2, 0.02), (3, 1.0), (4, 0.0)) for i in range(150)]
+    rows += [(1, 1000 + i, None if i % 3 else True, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, at int, f boolean, x string")
+    spark.conf.set(CHUNKS_CONF, "5")
+    try:
+        got = scan.Chunks(df, ["k"], ["at"]).runs("f", "opens", "number")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {(r.k, r.at): (r.opens, r.number) for r in got.collect()}
+    finally:
+        spark.conf.unset(CHUNKS_CONF)
+    assert "Window" not in plan and "Sort [" not in plan
+    want, last = {}, {}
+    for k, at, f, _ in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        before, n = last.get(k, (False, 0))
+        opens = bool(f) and not before
+        last[k] = (bool(f), n + opens)
+        want[k, at] = (opens, n + opens)
+    assert found == want
