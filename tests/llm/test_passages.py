@@ -62,6 +62,57 @@ def test_edited_passages_of_few_documents_are_all_found(spark):
     assert {(a, b) for a in whole for b in whole if a > b} <= found
 
 
+def test_edited_passages_of_frequent_seeds_are_found(spark):
+    rng = random.Random(8)
+    passage = _words(rng, 90)
+    n = 2 * GROUP + 10
+    docs = {i: _words(rng, 120) for i in range(n)}
+    first, second = n // 2, n // 2 + 1
+    for i in docs:
+        # too few words to be a passage, but every seed is in many documents before and after
+        part = list(passage) if i in (first, second) else passage[:45] if i % 2 else passage[45:]
+        if i == second:
+            part[45] = "edit"
+        docs[i][50:50] = part
+    found = repeated_passages(_docs(spark, [(i, " ".join(t), "x", 1) for i, t in docs.items()])).collect()
+    assert [(r.doc_id, r.source_id, r.n_words, r.n_edits) for r in found] == [(second, first, 90, 1)]
+
+
+def test_places_of_frequent_seeds_are_held_by_passages_as_by_comparing_all(spark, monkeypatch):
+    import pyarrow as pa
+
+    from orderweave.llm import passages
+    from orderweave.llm.words import Words
+
+    monkeypatch.setattr(passages, "GROUP", 2)
+    rng = random.Random(9)
+    long, phrase = _words(rng, 150), _words(rng, 30)
+    docs = []
+    for _ in range(60):
+        part = rng.choice([long[:70], long[60:], long[30:110], long, phrase, phrase * 3])
+        docs.append(_words(rng, 60) + [rng.choice((x, x, x, "edit", f"{x} more", "")) if rng.random() < 0.12 else x for x in part] + _words(rng, 40))
+    texts = [" ".join(x for x in d if x) for d in docs]
+    rows = passages.repeated_passages(_docs(spark, [(i, t, "x", 1) for i, t in enumerate(texts)])).collect()
+    w = Words(pa.array(texts))
+    _, least, row, _ = passages._minima(w)
+    values, at = w.shingles(passages.SEED)
+    kept = [set(least[row == i].tolist()) for i in range(len(texts))]
+    words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
+    seeds = [values[(at >= a) & (at < b)] for a, b in zip(w.first, w.first[1:])]
+    offsets = [[len(" ".join(t.split()[:k])) + (k > 0) for k in range(len(t.split()))] for t in texts]
+    n = 0
+    for a in range(len(texts)):
+        held = [(r.start, r.end) for r in rows if r.doc_id == a]
+        places = {(x, s) for x, s in enumerate(seeds[a].tolist()) if s in kept[a]}
+        for b in range(a):
+            for x0, x1, *_ in passages.passages(words[a], words[b], seeds[a], seeds[b]):
+                for x, s in places:
+                    if x0 <= x and x + passages.SEED <= x1 and s in kept[b]:
+                        n += 1
+                        assert any(start <= offsets[a][x] < end for start, end in held)
+    assert n > 1000
+
+
 def test_copies_stand_beside_the_first_and_offsets_are_code_points(spark):
     text = " ".join(f"wört{i} ǳ😀" for i in range(40))
     rows = repeated_passages(_docs(spark, [(i, text, "x", 1) for i in range(1, 50)])).collect()
